@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, ngram_join, packing, toxicity, url_filter, warc
+from . import langid, line_dedup, mixing, near_vectors, ngram_join, packing, topk, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.query,
         "op2_toxicity": toxicity.query,
+        "op3_near_vectors": near_vectors.query,
         "op4_best_fit_packing": packing.query,
         "op5_language_id": langid.query,
+        "op6_exact_top_k": topk.query,
         "op7_mixing": mixing.query,
         "op8_ngram_jaccard": ngram_join.query,
+        "op9_line_dedup": line_dedup.query,
         "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE}
