@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, stage
 from .vectors import as_binary, matrix, usable
 
-TREES, LEAF, SPILL = 6, 384, 0.06
+TREES, LEAF, SPILL = 8, 384, 0.06
 #: Vectors that a node's splits are fitted on, and most levels of splits in one round.
 SAMPLE, LEVELS = 512, 6
 #: A node is tight if the mean of its unit vectors is at least this long: mean cosine of 0.9 and more.
