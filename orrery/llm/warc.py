@@ -110,13 +110,11 @@ def train_dictionary(pages: DataFrame, payload: str) -> bytes:
     """A dictionary from at most ``DICT_ROWS`` payloads, those of smallest hash; empty if they are too few or too alike."""
     import zstandard
 
-    rows = (
-        pages.select(F.substring(F.encode(F.col(payload), "utf-8"), 1, DICT_ROW_BYTES).alias("b"), F.xxhash64(payload).alias("h"))
-        .where("length(b) > 0")
-        .orderBy("h", "b")
-        .limit(DICT_ROWS)
-        .collect()
-    )
+    # The hashes are picked first, so that no task sends payloads that are not used.
+    hashed = pages.where(F.length(payload) > 0).select(F.xxhash64(payload).alias("h"), payload)
+    picked = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(DICT_ROWS).collect()]
+    sample = hashed.where(F.col("h") <= max(picked)) if picked else hashed.limit(0)
+    rows = sample.groupBy("h").agg(F.min(F.substring(F.encode(payload, "utf-8"), 1, DICT_ROW_BYTES)).alias("b")).orderBy("h").collect()
     if len(rows) < 16:
         return b""
     try:
