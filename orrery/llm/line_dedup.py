@@ -21,31 +21,29 @@ from .common import BROADCAST_KEYS, by_keys, discard, stage
 SHINGLE = 5
 #: Similarity as a fraction, TOP / BOTTOM.
 TOP, BOTTOM = 4, 5
+#: Cells of the table that counts tokens by hash: their order of rarity.
+CELLS = 1 << 16
 
 
 def _words(line: Column) -> Column:
     """Lower-cased words between ASCII white space."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\x0b\f", "    "), " "), "")
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\f"))
+    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\f", "    ")).otherwise(low), " "), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, words, k1, k2): the lines with words.  ``h`` tells texts of one doc_id apart; k1 and k2 name the class."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "h", "pos", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    return rows.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")})
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``line`` becomes ``hs``, the hashes of its words; lines without words go."""
+    rows = rows.withColumn("words", _words(F.col("line"))).drop("line").where(F.size("words") > 0)
+    return rows.withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
 
 
-def _tokens(words: str) -> Column:
-    """Sorted distinct 64-bit hashes of the line's word runs."""
+def _tokens() -> Column:
+    """Sorted distinct 64-bit hashes of the word runs of ``hs``."""
     n = SHINGLE
     parts = ", ".join(f"get(hs, i + {k})" for k in range(n))
     runs = f"transform(sequence(0, size(hs) - {n}), i -> xxhash64({parts}))"
-    whole = "array(xxhash64(hs, size(hs)))"
-    made = f"CASE WHEN size(hs) >= {n} THEN {runs} ELSE {whole} END"
-    # ``hs`` is bound once, as the element of an array of one array.
-    return F.expr(
-        f"array_sort(array_distinct(element_at(transform(array(transform({words}, w -> xxhash64(w))), hs -> {made}), 1)))"
-    )
+    return F.expr(f"sort_array(array_distinct(CASE WHEN size(hs) >= {n} THEN {runs} ELSE array(xxhash64(hs, size(hs))) END))")
 
 
 def _prefix(size: str) -> Column:
@@ -58,11 +56,6 @@ def _enough(common: Column, m: str, n: str) -> Column:
     return common * (TOP + BOTTOM) >= TOP * (F.col(m) + F.col(n))
 
 
-def _earlier(pairs: DataFrame) -> DataFrame:
-    """Pairs (x, y) where y comes first."""
-    return pairs.where(F.col("y_first") < F.col("x_first"))
-
-
 def line_decisions(docs: DataFrame) -> DataFrame:
     """(doc_id, h, gone): for every text that loses lines, the positions (from 0) of those.
 
@@ -70,14 +63,10 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     position.  Blank lines, null and empty texts lose nothing.  Rows of equal doc_id and text are
     one text.
     """
-    made = _lines(docs).withColumn("tokens", _tokens("words"))
-    made = made.withColumn("m", F.size("tokens"))
-    lines = stage(
-        made.withColumn("p", _prefix("m")).select(
-            "doc_id", "h", "pos", "k1", "k2", F.slice("tokens", F.lit(1), F.col("p")).alias("prefix")
-        ),
-        "line-rows",
-    )
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    made = _hashed(rows).withColumns({"k1": F.xxhash64("hs"), "k2": F.xxhash64(F.lit(1), "hs"), "tokens": _tokens()}).drop("hs")
+    made = made.withColumn("p", _prefix("size(tokens)"))
+    lines = stage(made.select("doc_id", "h", "pos", "k1", "k2", F.slice("tokens", F.lit(1), F.col("p")).alias("prefix")), "line-rows")
     first = F.struct("doc_id", "h", "pos")
     classes = stage(lines.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
     live = stage(
@@ -88,9 +77,12 @@ def line_decisions(docs: DataFrame) -> DataFrame:
         .select("token"),
         "line-live",
     )
-    linked = lines.select("k1", "k2", F.explode("prefix").alias("token"))
-    linked = stage(by_keys(linked, live, "token").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select("k1", "k2", "first"), "line-linked")
-    gone_classes = _matched(docs, linked)
+    linked = by_keys(lines.select("k1", "k2", F.explode("prefix").alias("token")), live, "token").select("k1", "k2").distinct()
+    # Numbered in the order of their first lines: of two classes the earlier has the smaller number.
+    linked = linked.join(classes, ["k1", "k2"]).select("k1", "k2", "first").orderBy("first")
+    linked = stage(linked.withColumn("cid", F.monotonically_increasing_id()), "line-linked")
+    found = _matched(docs, lines, linked)
+    gone_classes = linked.join(found, "cid")
     repeated = classes.where("n > 1").select("k1", "k2", "first", F.lit(False).alias("also"))
     touched = (
         repeated.unionAll(gone_classes.select("k1", "k2", "first", F.lit(True)))
@@ -110,73 +102,61 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _matched(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """The classes of ``linked`` (k1, k2, first) that match an earlier one."""
-    # Tokens of each class, from its first line; only the texts that hold one are read again.
-    keys = linked.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.pos").alias("pos"), "k1", "k2", "first")
-    texts = stage(keys.select("h").distinct(), "line-texts")
-    some = by_keys(docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")), texts, "h").select("doc_id", "text")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    spots = keys.select(F.col("doc_id").alias("s_doc"), F.col("h").alias("s_h"), F.col("pos").alias("s_pos"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "first")
-    spots = F.broadcast(spots) if few else spots
-    rows = _lines(some)
-    rows = rows.join(
-        spots,
-        (F.col("h") == F.col("s_h")) & (F.col("pos") == F.col("s_pos")) & (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("s_doc")),
-    )
-    rows = rows.select("k1", "k2", "first", _tokens("words").alias("tokens")).dropDuplicates(["k1", "k2"])
+def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
+    """The classes (cid) of ``linked`` that match an earlier one."""
+    spots = linked.select("first.doc_id", "first.h", "first.pos", "cid").groupBy("doc_id", "h")
+    spots = spots.agg(F.collect_list(F.struct("pos", "cid")).alias("at")).select(F.col("doc_id").alias("s_doc"), F.col("h").alias("s_h"), "at")
+    spots = stage(spots, "line-spots")
+    n = linked.limit(BROADCAST_KEYS + 1).count()
+    side = F.broadcast(spots) if n <= BROADCAST_KEYS else spots
+    texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    rows = texts.join(side, (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_doc")))
+    rows = rows.select(F.split("text", "\n").alias("all"), F.explode("at").alias("e")).select("e.cid", F.get("all", F.col("e.pos")).alias("line"))
+    rows = _hashed(rows).select("cid", _tokens().alias("tokens"))
+    # A row of documents that is there several times gives its lines several times.
+    firsts = lines.join(linked.select("k1", "k2", "first", "cid"), ["k1", "k2"]).where(F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
+    if not firsts.groupBy("cid").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["cid"])
     sets = stage(rows, "line-sets")
-    flat = sets.select("k1", "k2", F.explode("tokens").alias("token"))
-    df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # Tokens of one class only can neither be met nor, as the rarest, be passed over: they just take places.
-    common = stage(df.where("df > 1"), "line-df")
-    shared = flat.join(common, "token")
-    ranked = shared.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    size = F.size("tokens")
-    ranked = ranked.join(sets.select("k1", "k2", "first", size.alias("m")), ["k1", "k2"])
-    # The order is by rarity: the m - |shared| tokens of one class come first, then the shared ones.
-    ranked = ranked.withColumn("alone", F.col("m") - F.size("shared")).withColumn("p", _prefix("m"))
-    entries = ranked.where("p > alone").select(
-        "k1", "k2", "first", "m", "alone", F.posexplode(F.expr("slice(shared, 1, p - alone)")).alias("i", "e")
-    )
-    entries = stage(entries.select("k1", "k2", "first", "m", (F.col("alone") + F.col("i")).alias("at"), F.col("e.token").alias("token")), "line-entries")
-    x = entries.select("token", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("first").alias("x_first"), F.col("m").alias("xm"), F.col("at").alias("xa"))
-    y = entries.select("token", F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("first").alias("y_first"), F.col("m").alias("ym"), F.col("at").alias("ya"))
-    heads = stage(
-        entries.groupBy("token").agg(F.min(F.struct("first", "k1", "k2", "m", "at")).alias("y")).select(
-            "token", F.col("y.k1").alias("y1"), F.col("y.k2").alias("y2"), F.col("y.first").alias("y_first"), F.col("y.m").alias("ym"), F.col("y.at").alias("ya")
-        ),
-        "line-heads",
-    )
-    done = stage(_verified(x.join(heads, "token"), sets), "line-done")
-    open_ = stage(x.join(done.select("x1", "x2"), ["x1", "x2"], "left_anti"), "line-open")
-    rest = stage(_verified(open_.join(y, "token"), sets), "line-rest")
-    found = done.unionAll(rest).distinct()
-    return stage(
-        found.join(linked.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "first"), ["x1", "x2"]).select(
-            F.col("x1").alias("k1"), F.col("x2").alias("k2"), "first"
-        ),
-        "line-matched",
-    )
+    cell = lambda t: F.pmod(t, F.lit(CELLS)).cast("int")
+    # How often tokens of each cell occur in the classes left: a fixed number of cells, all tokens.
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(cell(F.col("t")).alias("cell")).count()
+    counts = stage(counts, "line-cells")
+    filled = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
+    table = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("count", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("cells"))
+    table = stage(table, "line-rarity").scalar()
+    rarest = F.sort_array(F.transform("tokens", lambda t: F.struct(F.get(F.col("cells"), cell(t)).alias("n"), t.alias("t"))))
+    ranked = sets.withColumn("cells", table).withColumns({"by": rarest, "m": F.size("tokens")}).withColumn("p", _prefix("m"))
+    entries = ranked.select("cid", "m", F.posexplode(F.slice("by", F.lit(1), F.col("p"))).alias("at", "e")).select("cid", "m", "at", F.col("e.t").alias("token"))
+    entries = stage(entries, "line-entries")
+    heads = entries.groupBy("token").agg(F.min(F.struct("cid", "m", "at")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = stage(heads.select("token", F.col("y.cid").alias("y"), F.col("y.m").alias("ym"), F.col("y.at").alias("ya")), "line-heads")
+    x = entries.select("token", F.col("cid").alias("x"), F.col("m").alias("xm"), F.col("at").alias("xa"))
+    x = stage(x.join(heads, "token"), "line-met")
+    done = stage(_verified(x, sets), "line-done")
+    left = stage(x.select("token", "x", "xm", "xa").join(done, "x", "left_anti"), "line-open")
+    y = stage(entries.join(left.select("token").distinct(), "token", "left_semi").select("token", F.col("cid").alias("y"), F.col("m").alias("ym"), F.col("at").alias("ya")), "line-lists")
+    rest = stage(_verified(left.join(y, "token"), sets), "line-rest")
+    discard(spots, sets, counts, entries, heads, x, left, y)
+    return done.unionAll(rest).distinct().select(F.col("x").alias("cid"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x1, x2) of the pairs that pass the length and positional filters and reach the similarity."""
-    room = F.least("xa", "ya") + 1 + F.least(F.col("xm") - F.col("xa"), F.col("ym") - F.col("ya")) - 1
+    """The x that reach the similarity with an earlier y, after the length and positional filters."""
+    room = F.least("xa", "ya") + F.least(F.col("xm") - F.col("xa"), F.col("ym") - F.col("ya"))
     pairs = (
-        _earlier(pairs)
+        pairs.where(F.col("y") < F.col("x"))
         .where((F.least("xm", "ym") * BOTTOM >= F.greatest("xm", "ym") * TOP) & _enough(room, "xm", "ym"))
-        .select("x1", "x2", "y1", "y2", "xm", "ym")
+        .select("x", "y", "xm", "ym")
         .distinct()
     )
     pairs = stage(pairs, "line-pairs")
-    return (
-        pairs.join(sets.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("tokens").alias("xt")), ["x1", "x2"])
-        .join(sets.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("tokens").alias("yt")), ["y1", "y2"])
+    out = (
+        pairs.join(sets.select(F.col("cid").alias("x"), F.col("tokens").alias("xt")), "x")
+        .join(sets.select(F.col("cid").alias("y"), F.col("tokens").alias("yt")), "y")
         .where(_enough(F.size(F.array_intersect("xt", "yt")), "xm", "ym"))
-        .select("x1", "x2")
-        .distinct()
     )
+    return out.select("x").distinct()
 
 
 def dedup_lines(docs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
