@@ -35,15 +35,16 @@ def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str = EVENT) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines); step and index of the file name stand in where a row has none."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    named = raw.withColumn("file", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1))
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_name"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    named = lines.select("file", "value", F.from_json("value", f"{schema}, _bad string", options).alias("e")).select("file", "value", "e.*")
     number = lambda p: F.nullif(F.regexp_extract("file", p, 1), F.lit("")).try_cast("long")
-    good = named.where("_bad is null").drop("_bad")
+    good = named.where("_bad is null").drop("_bad", "value")
     good = good.withColumns(
         {"global_step": F.coalesce("global_step", number(r"step_(\d+)")), "evolution_index": F.coalesce("evolution_index", number(r"evo_(\d+)"))}
     )
     # The latest file repeats lines of a numbered one.
-    return good.where(~F.col("file").startswith("latest")), named.where("_bad is not null").select("file", F.col("_bad").alias("line"))
+    return good.where(~F.col("file").startswith("latest")), named.where("_bad is not null").select("file", F.col("value").alias("line"))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str, unknown: int = 10**12) -> DataFrame:
