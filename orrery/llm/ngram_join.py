@@ -31,6 +31,8 @@ CELLS = 1 << 18
 MINIMA, LEADER_ROUNDS = 3, 2
 #: Entries of an inverted list that travel together.
 LIST_ENTRIES = 1024
+#: Entries of one component in a list from which on they have a list of their own.
+OWN_LIST = 32
 CHUNK_CHARS = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -262,28 +264,44 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
     )
     live = stage(live, "jac-live")
     flat = stage(flat.join(live, "token"), "jac-postings")
+    # Entries of one component with many in a list have lists of their own, which its members skip.
+    per = flat.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= OWN_LIST).select("token", "comp", F.lit(True).alias("own"))
+    field = lambda c: F.transform("e", lambda e: e[c])
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / LIST_ENTRIES).cast("long"))
     lists = (
-        flat.withColumn("part", part)
-        .groupBy("token", "comp", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("entries"))
-        .select("token", F.col("comp").alias("l_comp"), F.transform("entries", lambda e: e["id"]).alias("ids"), F.transform("entries", lambda e: e["n"]).alias("sizes"))
+        flat.join(per, ["token", "comp"], "left")
+        .withColumns({"part": part, "l_comp": F.when(F.col("own"), F.col("comp"))})
+        .groupBy("token", "l_comp", "part")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("e"), F.max("comp").alias("top"))
+        .select("token", "l_comp", "top", *[field(c).alias(n) for c, n in (("id", "ids"), ("n", "sizes"), ("comp", "comps"))])
     )
     lists = stage(lists, "jac-lists")
-    asked = flat.join(lists, "token").where("comp < l_comp").select("id", "n", "ids", "sizes")
+    # Each pair is met once: by the document of the smaller component.
+    asked = flat.join(lists, "token").where(F.col("comp") < F.coalesce("l_comp", "top")).select("id", "n", "comp", "ids", "sizes", "comps")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by id: the lists of one query stand together."""
 
-        def candidates(query: int, n: int, lists: list) -> list[int]:
-            need = int(least_overlap(n, percent))
-            hits, out, last, count = min(SHORT_HITS, need), [], None, 0
+        def candidates(n: int, lists: list) -> list[int]:
+            long_x = least_overlap(n, percent) - min(SHORT_HITS, least_overlap(n, percent))
+            out, last, size, count = [], None, 0, 0
+
+            def close() -> None:
+                if last is None or 100 * min(n, size) < percent * max(n, size):
+                    return
+                # Of two short parts the one that ends first has met all its common shingles in the
+                # other; the rest of the overlap lies in its long part.
+                need = -(-percent * (n + size) // (100 + percent))
+                long_y = least_overlap(size, percent) - min(SHORT_HITS, least_overlap(size, percent))
+                if count >= max(need - max(long_x, long_y), 1):
+                    out.append(last)
+
             for y, m in heapq.merge(*lists):
                 if y != last:
-                    last, count = y, 0
+                    close()
+                    last, size, count = y, m, 0
                 count += 1
-                if count == min(hits, int(least_overlap(m, percent))) and 100 * min(n, m) >= percent * max(n, m):
-                    out.append(y)
+            close()
             return out
 
         query, size, held = None, 0, []
@@ -291,7 +309,7 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if query is not None:
-                for y in dict.fromkeys(candidates(query, size, held)):
+                for y in candidates(size, held):
                     out[0].append(query)
                     out[1].append(y)
 
@@ -302,12 +320,13 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
             return batch
 
         for batch in batches:
-            for x, n, ids, sizes in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for x, n, comp, ids, sizes, comps in zip(*(batch.column(i) for i in range(6)), strict=True):
                 x = x.as_py()
                 if x != query:
                     close()
                     query, size, held = x, n.as_py(), []
-                held.append(list(zip(ids.as_py(), sizes.as_py(), strict=True)))
+                own = comp.as_py()
+                held.append([(y, m) for y, m, c in zip(ids.as_py(), sizes.as_py(), comps.as_py(), strict=True) if own < c])
             if len(out[0]) > 20_000:
                 yield flush()
         close()
