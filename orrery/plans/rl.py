@@ -10,7 +10,11 @@ from .registry import query
 from .views import ROLLOUTS, rollouts, table, tokens
 
 R = lambda c, n=6: F.round(c, n)
-_UID = W.partitionBy("uid")
+
+
+def _uid():
+    return W.partitionBy("uid")
+
 
 
 @query("a3_group_mean", f"WITH {ROLLOUTS} SELECT uid, round(avg(h), 6) AS h FROM rollouts GROUP BY uid")
@@ -51,7 +55,7 @@ def group_entropy(spark, d):
 SELECT uid, idx, round((score - m) / (s + 1e-6::DOUBLE), 4) * mask AS adv FROM g WHERE n > 1""",
 )
 def group_normalize(spark, d):
-    g = rollouts(spark, d).withColumns({"m": F.avg("score").over(_UID), "s": F.stddev_samp("score").over(_UID), "n": F.count(F.lit(1)).over(_UID)}).where("n > 1")
+    g = rollouts(spark, d).withColumns({"m": F.avg("score").over(_uid()), "s": F.stddev_samp("score").over(_uid()), "n": F.count(F.lit(1)).over(_uid())}).where("n > 1")
     return g.select("uid", "idx", (R((F.col("score") - F.col("m")) / (F.col("s") + 1e-6), 4) * F.col("mask")).alias("adv"))
 
 
@@ -60,18 +64,18 @@ def group_normalize(spark, d):
     f"WITH {ROLLOUTS}, g AS (SELECT *, sum(score) OVER (PARTITION BY uid) AS t, count(*) OVER (PARTITION BY uid) AS n FROM rollouts) SELECT uid, idx, round(score - (t - score) / (n - 1), 6) AS adv FROM g WHERE n > 1",
 )
 def leave_one_out(spark, d):
-    g = rollouts(spark, d).withColumns({"t": F.sum("score").over(_UID), "n": F.count(F.lit(1)).over(_UID)}).where("n > 1")
+    g = rollouts(spark, d).withColumns({"t": F.sum("score").over(_uid()), "n": F.count(F.lit(1)).over(_uid())}).where("n > 1")
     return g.select("uid", "idx", R(F.col("score") - (F.col("t") - F.col("score")) / (F.col("n") - 1), 6).alias("adv"))
 
 
 @query("w5_baseline", f"WITH {ROLLOUTS} SELECT uid, idx, round(score - first(score) OVER (PARTITION BY uid ORDER BY idx), 4) AS adv FROM rollouts")
 def baseline(spark, d):
-    return rollouts(spark, d).select("uid", "idx", R(F.col("score") - F.first("score").over(_UID.orderBy("idx")), 4).alias("adv"))
+    return rollouts(spark, d).select("uid", "idx", R(F.col("score") - F.first("score").over(_uid().orderBy("idx")), 4).alias("adv"))
 
 
 @query("j14_group_lookup", f"WITH {ROLLOUTS} SELECT uid, idx, max(score) OVER (PARTITION BY uid) AS best FROM rollouts")
 def group_lookup(spark, d):
-    return rollouts(spark, d).select("uid", "idx", F.max("score").over(_UID).alias("best"))
+    return rollouts(spark, d).select("uid", "idx", F.max("score").over(_uid()).alias("best"))
 
 
 # Closed forms of the scans: a return is cut where a mask between is 0.
