@@ -154,10 +154,10 @@ def histogram(spark, d):
 
 @query(
     "a25_event_counters",
-    "SELECT event_type AS op, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (CAST(date_trunc('day', ts) AS DATE)))",
+    "WITH e AS (SELECT event_type AS op, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) SELECT op, day, count(*) AS n FROM e GROUP BY GROUPING SETS ((op), (day))",
 )
 def counters(spark, d):
-    e = candidates(spark, d).withColumn("day", F.to_date("ts"))
+    e = candidates(spark, d).withColumn("day", F.to_date("ts").cast("string"))
     return e.groupingSets([[F.col("op")], [F.col("day")]], "op", "day").agg(F.count(F.lit(1)).alias("n")).select("op", "day", "n")
 
 
