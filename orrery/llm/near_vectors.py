@@ -193,7 +193,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, seed: int = 11)
     )
     # A vec_id that repeats with other vectors stands for several groups: they get numbers of their own.
     points = stage(
-        as_binary(groups.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("first"), "mult", "label", F.size("embedding").alias("d"), F.col("embedding").alias("vec")), "vec"),
+        as_binary(groups.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("first"), "mult", "label", F.size("embedding").alias("d"), F.col("embedding").alias("vec")), "vec", unsigned_zero=True),
         "vec-points",
     )
     leaves = _leaves(points.select("id", "label", "d", "vec"), seed)
@@ -225,8 +225,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, seed: int = 11)
     counted = stage(
         points.join(links, "id", "left").select("first", "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "vec-counted"
     )
-    keyed = as_binary(live.select("vec_id", "label", F.col("embedding").alias("vec")), "vec")
-    per_row = keyed.join(counted.select("label", "vec", "n_links"), ["label", "vec"]).select("vec_id", "n_links")
+    keyed = as_binary(live.select("vec_id", "label", F.col("embedding").alias("vec")), "vec", unsigned_zero=True)
+    per_row = keyed.join(counted.select("label", "vec", "n_links"), ["label", "vec"], "left").select("vec_id", "n_links")
     dead = rows.where(~F.coalesce(ok, F.lit(False)) | ~F.coalesce(norm, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = per_row.unionAll(dead).join(component.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     out = out.select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))

@@ -16,15 +16,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False))
 
 
-def as_binary(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``rows`` with ``vector`` as little-endian doubles in a binary column."""
+def as_binary(rows: DataFrame, vector: str = "embedding", unsigned_zero: bool = False) -> DataFrame:
+    """``rows`` with ``vector`` as little-endian doubles in a binary column; with ``unsigned_zero``, -0.0 becomes 0.0 as in Spark's grouping."""
     at = rows.columns.index(vector)
     kinds = [f"`{f.name}` {'binary' if f.name == vector else f.dataType.simpleString()}" for f in rows.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(at)
-            flat = np.asarray(col.flatten().cast(pa.float64()), dtype="<f8")
+            flat = np.asarray(col.flatten().cast(pa.float64()), dtype="<f8") + (0.0 if unsigned_zero else -0.0)
             ends = np.cumsum([len(x) if x.is_valid else 0 for x in col])
             made = [flat[b - (len(x) if x.is_valid else 0) : b].tobytes() for x, b in zip(col, ends, strict=True)]
             cols = list(batch.columns)

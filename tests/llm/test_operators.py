@@ -123,6 +123,14 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == sum(i in e for e in links) for i in got)
 
 
+def test_near_vectors_negative_zero(spark):
+    rows = [(1, [-0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, -0.0], 0), (4, [-0.0, -0.0], 0), (5, [-0.0, 1.0], None)]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()}
+        assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True)}
+
+
 def test_tokenizer_equals_library():
     from tokenizers import Tokenizer
 
