@@ -131,6 +131,26 @@ def test_near_vectors_negative_zero(spark):
         assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True)}
 
 
+def test_near_vectors_forest(spark):
+    """More vectors of one label than a leaf holds: many groups of ten, one tight group of more than two leaves."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(250, 24))
+    x = np.concatenate([base[np.arange(2500) % 250] + rng.normal(size=(2500, 24)) * 0.1, rng.normal(size=24) + rng.normal(size=(900, 24)) * 0.08])
+    assert len(x) > 8 * near_vectors.LEAF and 900 > 2 * near_vectors.LEAF
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = near_vectors.near_vectors(df).toPandas().set_index("vec_id").sort_index()
+    true, found = near.sum(axis=1), got.n_links.to_numpy()
+    assert len(got) == len(x) and (found <= true).all()  # a pair that meets in several leaves counts once
+    assert found.sum() >= 0.95 * true.sum() and found[:2500].sum() >= 0.9 * true[:2500].sum()
+    want = components(np.argwhere(near).tolist(), range(len(x)))
+    wrong = sum(want[i] != c for i, c in got.component_id.items())
+    assert wrong <= 0.01 * len(x)
+    print("links found", found.sum() / true.sum(), "outside the tight group", found[:2500].sum() / true[:2500].sum(), "wrong components", wrong)
+
+
 def test_tokenizer_equals_library():
     from tokenizers import Tokenizer
 
