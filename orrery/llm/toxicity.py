@@ -2,8 +2,9 @@
 
 Terms are a document's distinct words and their first four and five letters.  The score adds
 linear weights and the inner products of the terms' latent vectors, so a pair of terms can count
-although neither counts alone.  Linear weights follow the regularised leader with an L1 penalty;
-latent vectors exist only for terms that are frequent enough in the sample.
+although neither counts alone, and the same in texts of any length.  Linear weights follow the
+regularised leader with an L1 penalty; latent vectors are fitted on all sampled texts at once, for
+frequent terms whose pairs go with the errors of the linear weights beyond chance.
 """
 
 from __future__ import annotations
@@ -27,7 +28,14 @@ TRAIN_ROWS = 12_000
 MIN_DOCS, MIN_LATENT_DOCS = 3, 20
 RANK, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
-LATENT_STEP, LATENT_L2 = 0.05, 0.002
+#: Turns of the search for leading pairs, and gradient steps of the latent vectors a round.
+TURNS, STEPS = 15, 30
+#: Deviations by which a term stands out in a direction.
+STANDS_OUT = 5.0
+#: Times that a direction's value must exceed the largest of shuffled errors.
+CLEAR = 1.15
+#: Fits of the latent vectors, each beside linear weights fitted anew.
+ROUNDS = 2
 CACHE_WORDS = 400_000
 
 
@@ -69,48 +77,178 @@ class Terms:
         return np.fromiter(ids, np.int64, len(ids))
 
 
+def pair_terms(ids: np.ndarray, model: Model) -> float:
+    """Sum of the inner products of all pairs of terms.  A pair counts the same in texts of any length."""
+    v = model.latent[model.slot[ids]]
+    s = v.sum(axis=0)
+    return 0.5 * float(s @ s - (v * v).sum())
+
+
+class Pairs:
+    """Latent vectors of all texts at once; single steps would move every term of a long text for one pair."""
+
+    def __init__(self, slots: list[np.ndarray], size: int):
+        self.size = size
+        self.ends = np.cumsum([0] + [len(x) + 1 for x in slots])
+        # Every text starts with the zero row, so none is empty.
+        self.at = np.zeros(self.ends[-1], np.int32)
+        for i, x in enumerate(slots):
+            self.at[self.ends[i] + 1 : self.ends[i + 1]] = x
+        self.df = np.bincount(self.at, minlength=size).astype(float)
+        # Rare terms move further; by the fourth root on each side neither they nor the commonest drown a pair.
+        self.width = np.maximum(self.df, 1) ** -0.25
+        self.width[0] = 0
+        # Terms count from their means, or the commonest would drown all others; the rest of each product is linear.
+        self.mean = self.df / max(len(slots), 1)
+        self.mean[0] = 0
+
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        start = 0
+        while start < len(self.ends) - 1:
+            stop = max(start + 1, int(np.searchsorted(self.ends, self.ends[start] + (1 << 18), "right")) - 1)
+            yield slice(start, stop), self.at[self.ends[start] : self.ends[stop]], self.ends[start : stop + 1] - self.ends[start]
+            start = stop
+
+    def values(self, v: np.ndarray) -> np.ndarray:
+        """Every text's term of each column."""
+        out, mean = np.zeros((len(self.ends) - 1, v.shape[1])), self.mean @ v
+        for rows, at, ends in self._parts():
+            x = v[at]
+            out[rows] = 0.5 * ((np.add.reduceat(x, ends[:-1]) - mean) ** 2 - np.add.reduceat(x * x, ends[:-1]))
+        return out
+
+    def slope(self, r: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Gradient of the sum of r * values(v)."""
+        out, mean, total = np.zeros_like(v), self.mean @ v, np.zeros(v.shape[1])
+        own = np.zeros(self.size)
+        for rows, at, ends in self._parts():
+            s, n = np.add.reduceat(v[at], ends[:-1]) - mean, np.diff(ends)
+            total += r[rows] @ s
+            own += np.bincount(at, np.repeat(r[rows], n), self.size)
+            for k in range(v.shape[1]):
+                out[:, k] += np.bincount(at, np.repeat(r[rows] * s[:, k], n), self.size)
+        return out - own[:, None] * v - self.mean[:, None] * total
+
+    def leading(self, r: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Largest values and their vectors of the pairs' covariance with ``r``."""
+        w = self.width[:, None]
+        u, shift = np.linalg.qr(rng.normal(size=(self.size, min(RANK, self.size))))[0], 0.0
+        for _ in range(TURNS):
+            m = w * self.slope(r, w * u)
+            shift = max(shift, 0.5 * np.linalg.norm(m, axis=0).max())
+            u = np.linalg.qr(m + shift * u)[0]
+        value, turn = np.linalg.eigh(u.T @ (w * self.slope(r, w * u)))
+        return value[::-1], w * (u @ turn)[:, ::-1]
+
+
+def _chance(raw: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30)))
+
+
+def fit_latent(slots: list[np.ndarray], pairs: Pairs, v: np.ndarray, raw: np.ndarray, first: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Latent vectors of the terms of ``v`` and of those that the errors of ``raw``, the scores with ``v``, show.
+
+    Directions of the errors count if they stand out from those of shuffled errors, and terms if
+    they stand out in such a direction.  All are fitted beside ``first``, the linear scores alone;
+    the same bound among these terms is the penalty.
+    """
+    r = y - _chance(raw)
+    noise = CLEAR * pairs.leading(rng.permutation(r), rng)[0][0]
+    value, u = pairs.leading(r, rng)
+    size = np.abs(u[:, value > noise]) / np.maximum(pairs.width, 1e-9)[:, None]
+    found = v.any(axis=1) | (size > STANDS_OUT / 0.6745 * np.median(size[1:], axis=0)).any(axis=1)
+    found[0] = False
+    if found.sum() == v.any(axis=1).sum():
+        return v
+    raw, out = first, np.zeros_like(v)
+    at = np.where(found, np.cumsum(found), 0)
+    few = Pairs([at[x][at[x] > 0] for x in slots], int(found.sum()) + 1)
+    r = y - _chance(raw)
+    noise = max(float(few.leading(rng.permutation(r), rng)[0][0]), 1e-9)
+    value, u = few.leading(r, rng)
+    u = u[:, value > noise]
+    f, c = few.values(u), np.zeros(u.shape[1])
+    scale = np.where(few.width > 0, few.width, 1.0)[:, None] ** -2
+
+    def cost(x: np.ndarray) -> float:
+        now = raw + few.values(x).sum(axis=1)
+        return float((np.logaddexp(0, now) - y * now).sum()) + 0.5 * noise * float((scale * x * x).sum())
+
+    for _ in range(10 if len(c) else 0):
+        p = _chance(raw + f @ c)
+        step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + 1e-6 * np.eye(len(c)) * (f * f).sum(axis=0).max(), f.T @ (y - p) - noise / 2)
+        c = min((np.clip(c + 0.25**k * step, 0, None) for k in range(6)), key=lambda x: cost(u * np.sqrt(x)))
+    w = u * np.sqrt(c)
+    now, step = cost(w), 1.0 / noise
+    for _ in range(STEPS if w.any() else 0):
+        r = y - _chance(raw + few.values(w).sum(axis=1))
+        way = few.slope(r, w) / scale - noise * w
+        for _ in range(8):
+            tried = w + step * way
+            got = cost(tried)
+            if got < now:
+                w, now, step = tried, got, step * 2
+                break
+            step /= 4
+        else:
+            break
+    out[found, : w.shape[1]] = w[1:]
+    return out
+
+
 def fit_rows(rows: list[tuple[np.ndarray, int]], seed: int = 0) -> Model:
-    """Fit on (ids, label) pairs."""
+    """Fit on (ids, label) pairs: the latent vectors in rounds, then the linear weights beside them."""
     size, rng = 1 << BITS, np.random.default_rng(seed)
     df = np.zeros(size, np.int64)
     for ids, _ in rows:
         df[ids] += 1
     wide = df >= MIN_LATENT_DOCS
     slot = np.where(wide, np.cumsum(wide), 0)
-    latent = rng.normal(0, 0.02, (int(wide.sum()) + 1, RANK))
-    latent[0] = 0
-    square = np.full_like(latent, 1e-2)
-    z, n, b, bn = np.zeros(size), np.zeros(size), 0.0, 1.0
+    latent = np.zeros((int(wide.sum()) + 1, RANK))
     y_mean = np.mean([y for _, y in rows]) if rows else 0.0
-    b = float(np.log((y_mean + 1e-3) / (1 - y_mean + 1e-3)))
+    start = float(np.log((y_mean + 1e-3) / (1 - y_mean + 1e-3)))
+    z, n, b = np.zeros(size), np.zeros(size), start
 
     def solve(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    if 0 < y_mean < 1:
-        rows = [(ids[df[ids] >= MIN_DOCS], y) for ids, y in rows]
-        for _ in range(EPOCHS):
+    def fit_linear(beside: np.ndarray, epochs: int) -> np.ndarray:
+        """Fit z, n and b anew beside the pairs' terms.  The linear scores of the texts, each before its last step."""
+        nonlocal b
+        z[:], n[:], b, bn = 0, 0, start, 1.0
+        raw = np.zeros(len(rows))
+        for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 ids, y = rows[i]
                 zi, ni = z[ids], n[ids]
                 w = solve(zi, ni)
-                at = slot[ids]
-                at = at[at > 0]
-                v = latent[at]
-                s = v.sum(axis=0)
-                # Divided by the terms: long texts have very many pairs.
-                scale = 1.0 / max(len(ids), 1)
-                raw = b + w.sum() + 0.5 * scale * (s @ s - (v * v).sum())
-                g = 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30))) - y
+                raw[i] = b + w.sum()
+                g = 1.0 / (1.0 + np.exp(-np.clip(raw[i] + beside[i], -30, 30))) - y
                 more = ni + g * g
                 z[ids] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
                 n[ids] = more
-                gv = g * scale * (s - v) + LATENT_L2 * v
-                square[at] += gv * gv
-                latent[at] = v - LATENT_STEP * gv / np.sqrt(square[at])
                 bn += g * g
                 b -= ALPHA * g / np.sqrt(bn)
+        return raw
+
+    if 0 < y_mean < 1:
+        rows = [(ids[df[ids] >= MIN_DOCS], y) for ids, y in rows]
+        labels = np.array([y for _, y in rows], float)
+        slots = [slot[ids][slot[ids] > 0] for ids, _ in rows]
+        pairs = Pairs(slots, len(latent))
+        beside, first = np.zeros(len(rows)), None
+        for _ in range(ROUNDS if len(latent) > 1 else 0):
+            # After one epoch no score knows its own text's label: linear weights learn long texts by heart, and pairs would find no errors.
+            raw = fit_linear(beside, 1) + beside
+            first = raw if first is None else first
+            latent = fit_latent(slots, pairs, latent, raw, first, labels, rng)
+            beside = pairs.values(latent).sum(axis=1)
+        fit_linear(beside, EPOCHS)
     linear = solve(z, n)
+    if latent.any():
+        mean = pairs.mean @ latent
+        linear = linear - (latent @ mean)[slot]
+        b += 0.5 * float(mean @ mean)
     return Model(b, linear, latent, slot)
 
 
@@ -158,9 +296,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
             out = []
             for t in batch.column(batch.schema.get_field_index(text)):
                 ids = terms(t.as_py())
-                v = m.latent[m.slot[ids]]
-                s = v.sum(axis=0)
-                out.append(m.bias + m.linear[ids].sum() + 0.5 / max(len(ids), 1) * (s @ s - (v * v).sum()))
+                out.append(m.bias + m.linear[ids].sum() + pair_terms(ids, m))
             p = 1.0 / (1.0 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(carry).columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"]

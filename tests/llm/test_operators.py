@@ -92,6 +92,26 @@ def test_toxicity_learns_pairs():
     assert score("insult group") > max(score("insult"), score("group"), score("other"))
 
 
+def test_toxicity_learns_pairs_of_long_texts(spark):
+    """Toxic is one combination of insult and group and not the other: each word alone says nothing."""
+    rng = random.Random(2)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(1500)]
+    rows = []
+    for i in range(4000):
+        a, b = rng.randint(0, 1), rng.randint(0, 1)
+        text = rng.choices(pool, k=200) + [("vile", "dull")[a], ("group", "other")[b]]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(a == b)))
+    terms = toxicity.Terms()
+    model = toxicity.fit_rows([(terms(t), y) for _, t, y in rows[:3200]])
+    docs = spark.createDataFrame(rows[3200:], "doc_id long, text string, toxic int")
+    got = toxicity.score(docs, model).collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+    # Without pairs nothing is found, so none is made up.
+    shuffled = [(terms(t), rng.randint(0, 1)) for _, t, _ in rows[:1000]]
+    assert not toxicity.fit_rows(shuffled).latent.any()
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
