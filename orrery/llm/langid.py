@@ -22,8 +22,6 @@ from .common import added, fold_held_out
 BUCKETS = 1 << 16
 #: Sample per language: PARTS hash parts of PART_ROWS rows at most, whole texts.
 PARTS, PART_ROWS = 64, 24
-#: Most languages that can be learned, the most frequent first.
-MAX_LANGUAGES = 256
 #: Follow-the-regularised-leader: step, damping, and the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 EPOCHS = 3
@@ -114,13 +112,12 @@ def _sample(docs: DataFrame, part_rows: int) -> DataFrame:
 def fit(train: DataFrame, part_rows: int = PART_ROWS) -> Model:
     """Fit on (doc_id, text, lang) rows with a language; at most PARTS * ``part_rows`` texts per language."""
     train = train.where("lang is not null and text is not null")
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    languages = sorted(r.lang for r in train.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     frequency, n_docs = document_frequencies(train)
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1.0
-    keys = _sample(train.where(F.col("lang").isin(languages)).select("doc_id", "lang", F.xxhash64("text").alias("text")), part_rows)
+    keys = _sample(train.select("doc_id", "lang", F.xxhash64("text").alias("text")), part_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -149,11 +146,11 @@ def fit(train: DataFrame, part_rows: int = PART_ROWS) -> Model:
     )
     rng = np.random.default_rng(0)
     order = rng.permutation(len(sampled))
-    rows = []
+    rows, number = [], {name: i for i, name in enumerate(languages)}
     for i in order:
         r = sampled.iloc[i]
         ids = np.frombuffer(r.ids, "<u4").astype(np.int64)
-        rows.append((ids, np.frombuffer(r.tf, "<f4").astype(np.float64) * SCALE * idf[ids], languages.index(r.lang)))
+        rows.append((ids, np.frombuffer(r.tf, "<f4").astype(np.float64) * SCALE * idf[ids], number[r.lang]))
     held = max(len(rows) // 5, 1)
     fitted, kept = (rows[held:], rows[:held]) if len(rows) >= 10 else (rows, rows)
     weights, bias = _leader(fitted, len(languages), rng)
@@ -185,8 +182,9 @@ def _leader(rows: list, classes: int, rng: np.random.Generator) -> tuple[np.ndar
             more = ni + g * g
             z[ids] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
             n[ids] = more
-    w = solve(z, n)
-    return w[:BUCKETS], w[BUCKETS]
+    for k in range(0, len(z), 4096):  # in place, as all languages are learned
+        z[k : k + 4096] = solve(z[k : k + 4096], n[k : k + 4096])
+    return z[:BUCKETS], z[BUCKETS]
 
 
 def _temperature(rows: list, weights: np.ndarray, bias: np.ndarray) -> float:

@@ -129,6 +129,19 @@ def test_language(spark):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (900, 901, 902))
 
 
+def test_language_learns_every_lang(spark):
+    """300 languages, the last ones the rarest."""
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(300)]
+    rows = [(1000 * k + i, f"{s} {s} {s}", f"l{k:03}") for k, s in enumerate(stems) for i in range(4 if k < 250 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = langid.predict(docs, model).collect()
+    rare = [r for r in got if r.lang >= "l250"]
+    assert len(got) == len(rows) and sum(r.lang_pred == r.lang for r in rare) >= 0.9 * len(rare)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 16))
