@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_keys, connected_components, discard, stage
@@ -387,17 +388,50 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _own_keys(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, digest, rank, key) of the texts of ids that stand for several; the first keeps its id as key, others get unused numbers."""
+    texts = by_keys(docs, repeated, "doc_id").select("doc_id", _digest().alias("digest")).distinct()
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("digest"))
+    texts = texts.withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).where("n > 1")
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    if low is None or high < 1 << 62:
+        number = F.lit(high or 0) + 1 + F.monotonically_increasing_id()
+    elif low > -(1 << 62):
+        number = F.lit(low) - 1 - F.monotonically_increasing_id()
+    else:
+        raise ValueError("no numbers are left for texts whose doc_id repeats")
+    return stage(texts.select("doc_id", "digest", "rank", F.when(F.col("rank") == 1, F.col("doc_id").cast("long")).otherwise(number).alias("key")), "jac-keys")
+
+
+def _digest() -> Column:
+    return F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+
+
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, once each; rows without doc_id stay."""
-    found = jaccard_components(docs, words, percent)
-    drop = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "jac-drop")
-    repeated = stage(
-        found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jac-repeated"
-    )
-    kept = by_keys(docs, drop, "doc_id", "left_anti")
-    once = by_keys(kept, repeated, "doc_id", "left_anti")
-    more = by_keys(kept, repeated, "doc_id").dropDuplicates(["doc_id"])
-    return once.unionByName(more).select(*docs.columns)
+    """One row of ``docs`` of each group of near copies; rows without doc_id stay.
+
+    The row of the smallest doc_id is kept.  Texts that share a doc_id are a group only if they are
+    near copies; the order of their digests decides between them, and that of all columns between
+    rows of the same id and text.
+    """
+    columns = docs.columns
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jac-repeated")
+    keys = _own_keys(docs, repeated)
+    several = stage(keys.select("doc_id").distinct(), "jac-several")
+    rest = by_keys(docs, several, "doc_id", "left_anti").withColumn("_key", F.col("doc_id").cast("long"))
+    own = by_keys(docs, several, "doc_id").withColumn("digest", _digest()).join(keys.select("doc_id", "digest", F.col("key").alias("_key")), ["doc_id", "digest"])
+    rows = rest.unionByName(own.select(*columns, "_key"))
+    found = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent)
+    found = stage(found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct(), "jac-found")
+    # The first of a component by id and rank: its own number unless texts with new numbers are in it.
+    place = F.struct(F.coalesce("doc_id", "key").alias("id"), F.coalesce("rank", F.lit(1)).alias("rank"))
+    best = found.join(keys.select("key", "doc_id", "rank"), "key", "left").groupBy("component_id").agg(F.min_by("key", place).alias("best"))
+    drop = stage(found.join(best, "component_id").where("key <> best").select(F.col("key").alias("_key")), "jac-drop")
+    kept = by_keys(rows, drop, "_key", "left_anti")
+    again = repeated.join(several, "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("_key")).unionAll(keys.select("key"))
+    once = by_keys(kept, again, "_key", "left_anti").select(*columns)
+    more = by_keys(kept, again, "_key").groupBy("_key").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(more).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

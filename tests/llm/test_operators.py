@@ -263,6 +263,16 @@ def test_one_per_group(spark):
     assert out.columns == ["doc_id", "text", "lang", "source"] and out.where("doc_id = 2000").count() == 0 and out.where("doc_id is null").count() == 1
 
 
+def test_one_per_group_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = b + " more"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (1, b, "w"), (2, near, "x"), (3, c, "x"), (3, d, "x"), (3, None, "x"), (0, c, "x"), (4, a + " z", "x"), (None, a, "x")]
+    out = ngram_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3, 80).collect()
+    want = [(1, a, "x"), (1, b, "w"), (3, d, "x"), (3, None, "x"), (0, c, "x"), (None, a, "x")]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
+
+
 def test_lines(spark):
     rng = random.Random(3)
     pool = [words(rng, rng.randint(1, 60)) for _ in range(30)]
