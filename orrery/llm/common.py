@@ -1,12 +1,13 @@
 """Shared pieces of the training-data operators: scratch tables, word rules, components.
 
 Scratch tables cut lineage.  They are written to the shared folder named by
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a folder of our own is
-made and put into the session's settings.
+``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests,
+notebooks) a folder of our own is made and put into the session's settings.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -24,6 +25,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

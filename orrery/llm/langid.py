@@ -46,8 +46,8 @@ class Grams:
         self.letter = np.array([chr(i).isalpha() for i in range(0x10000)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(three buckets per position, start of each text, letters per text); a blank stands between texts."""
-        low = [t.lower() + " " for t in texts]
+        """(three buckets per position, start of each text, letters per text); two blanks follow a text, as far as an n-gram looks back."""
+        low = [t.lower() + "  " for t in texts]
         sizes = np.fromiter(map(len, low), np.int64, len(low))
         codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = self.letter[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
