@@ -1,50 +1,51 @@
-"""Best-fit packing in bulk-synchronous rounds.
-
-A round ranks open pieces and gaps within their size, lets every piece look for its successor
-(the tightest gap that is large enough) in one sweep over the sizes from large to small, settles
-pieces that want the same gap by rank, updates the gaps, and repeats.  The sweep is a parenthesis
-matching: a gap opens a level, a piece closes the innermost open one.  Levels follow from ranks
-and from a histogram with a row per size, so a round is two shuffles of (kind, size, id) rows and
-no task ever holds a whole size.
+"""Best-fit packing in bulk-synchronous rounds over runs of equal sizes.
+
+Documents are sorted by size across the cluster: every piece gets its rank among those of its size.
+A run is a range of ranks of one size, or a range of sequences with equal gaps.  A round takes the
+largest size left.  Its pieces go to their successor, the tightest run of gaps that is large enough;
+pieces that want the same gap are settled by rank, ``gap // size`` consecutive ranks a gap; the gaps
+are updated and the sweep goes on to the next run, or opens sequences where no gap is left.  Rows
+are not moved while runs are matched: in the end each finds its place by its size and rank.
+
+A full gap keeps less than half of what it had, so a run is met at most log2(capacity) times, and a
+size adds at most three runs: the steps of all rounds are bounded by the capacity (some 70,000 for
+2048), whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage, union_all
+from .common import stage
 
 CAPACITY = 2048
-#: Parts that the rows of one size are dealt to for ranking.
-SALTS = 32
-#: Distinct units whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_UNITS = 400_000
 #: Characters tokenized at once.
 CHUNK_CHARS = 1 << 20
 
 
-class UnitTokenizer:
-    """Ids of a byte-level BPE tokenizer file, with the ids of repeated units looked up.
+class ByteTokenizer:
+    """Ids of a byte-level BPE tokenizer file.
 
     ``spec`` is the JSON that the ``tokenizers`` library reads; ids equal that library's with
-    ``add_special_tokens=False`` and ``encode_special_tokens=True``.  Its vocabulary is loaded into
-    ``tiktoken``, which encodes single words some five times faster.
-
-    The byte-level pre-tokenizer never joins a character to the white space after it, and a
-    single space or line break between two other characters goes whole to the unit behind it.
-    Texts may therefore be cut before such separators; a unit's ids do not depend on its
-    neighbours.  A full stop or comma after a letter is likewise a token of its own.
+    ``add_special_tokens=False``: the text of an added token becomes its one id.  The vocabulary is
+    loaded into ``tiktoken``, which takes some fifth of the CPU.
     """
 
-    #: Fixed value: the pattern of the byte-level pre-tokenizer.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: The pattern of the byte-level pre-tokenizer, possessive where nothing can be given back, and Unicode's white space.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+    BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: White space at a stretch from which on it is encoded by itself, as the pattern's engine would run out of stack.
+    LONG_BLANK = 10_000
 
     def __init__(self, spec: str):
         import re
@@ -55,56 +56,37 @@ class UnitTokenizer:
         model, before = file["model"], file["pre_tokenizer"]
         if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or file["normalizer"]:
             raise ValueError("a byte-level BPE tokenizer without normalizer or prefix space is asked for")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that take blanks or ask for word bounds are not supported")
         # Byte-level files write printable bytes as themselves and the others from U+0100 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        special = {t["content"] for t in file["added_tokens"]}
-        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        self.engine = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-    def units(self, text: str) -> list[str]:
-        flat = text.replace("\n", " ").split(" ")
-        if flat == text.split():
-            cut = text.replace("\n", " \n").split(" ")
-            # The first unit has no separator; "\0" marks it, as others imply their space.
-            cut[0] = "\0" + cut[0]
-            return cut
-        # Irregular white space: cut only where both neighbours are other characters.
-        return ["\0" + x for x in self.cut.split(text)]
-
-    def _encode(self, keys: list[str]) -> None:
-        known, word, text = self.known, self.engine._core_bpe.encode_single_piece, self.engine.encode_ordinary
-        for k in keys:
-            if k.isalpha():  # letters behind a space are one piece
-                known[k] = array("I", word(b" " + k.encode())).tobytes()
-            else:
-                known[k] = array("I", text(k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k)).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.units(t) if t else [] for t in texts]
-        known = self.known
-        fresh = set()
-        for units in cut:
-            fresh.update(units)
-        fresh.difference_update(known)
-        if fresh:
-            if len(known) > CACHE_UNITS:
-                known.clear()
-                fresh = set().union(*cut)
-            ends = [k for k in fresh if k[-1] in ".," and len(k) > 2 and k[-2].isalpha()]
-            whole = fresh.difference(ends)
-            whole.update(k[:-1] for k in ends)
-            whole.difference_update(known)
-            whole.update(("\0.", "\0,"))
-            self._encode(whole)
-            stop, comma = known["\0."], known["\0,"]
-            for k in ends:
-                known[k] = known[k[:-1]] + (stop if k[-1] == "." else comma)
-        return [b"".join([known[u] for u in units]) for units in cut]
+        self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+        self.encode = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.blank = re.compile(f"[{self.BLANKS}]{{{self.LONG_BLANK},}}(?=[^{self.BLANKS}])").finditer
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else lambda t: [t]
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text."""
+        parts = self.cut(text)
+        if len(parts) == 1 and len(text) < self.LONG_BLANK:
+            return array("I", self.encode(text)).tobytes()
+        ids = array("I")
+        for k, part in enumerate(parts):
+            if k % 2:
+                ids.append(self.added[part])
+                continue
+            # All but the last blank before other characters are one unit, and so is what ends a text.
+            at = 0
+            for m in self.blank(part):
+                ids.extend(self.encode(part[at : m.start()]))
+                ids.extend(self.encode(part[m.start() : m.end() - 1]))
+                at = m.end() - 1
+            ids.extend(self.encode(part[at:]))
+        return ids.tobytes()
 
 
 def tokenize_pieces(
@@ -122,16 +104,13 @@ def tokenize_pieces(
     fields = ["piece int", "start long", "length long", "ids binary"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, last = UnitTokenizer(spec.value), array("I", [end_id]).tobytes()
+        encode, last = ByteTokenizer(spec.value), array("I", [end_id]).tobytes()
         width = 4 * capacity
 
         def one(keys: list, texts: list[str], shape: pa.DataType) -> pa.RecordBatch:
             rows = ([], [], [], [], [])
-            for k, ids in zip(keys, encode(texts), strict=True):
-                ids += last
+            for k, text in zip(keys, texts, strict=True):
+                ids = encode(text) + last
                 first = (len(ids) - 1) % width + 1
                 at = 0
                 for n, end in enumerate(range(first, len(ids) + 1, width)):
@@ -158,120 +137,96 @@ def tokenize_pieces(
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(cut, ", ".join([f"`{key}` {kind}", *fields]))
 
 
-def _sweep(state: DataFrame) -> DataFrame:
-    """Pieces (kind 0) and gaps (kind 1) with their partner in this sweep, and unmatched pieces by rank."""
-    salted = state.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("kind", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    starts = parts.withColumn(
-        "before", F.sum("n").over(W.partitionBy("kind", "size").orderBy("salt")) - F.col("n")
-    ).select("kind", "size", "salt", "before")
-    # One row per size, so at most as many as the capacity: one task sums them up.
-    hist = state.groupBy("size").agg(F.count_if(F.col("kind") == 1).alias("gaps"), F.count_if(F.col("kind") == 0).alias("items"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.desc("size"))
-    hist = hist.withColumn("net", F.sum(F.col("gaps") - F.col("items")).over(down))
-    # Levels never go below zero: pieces without a gap are left out of the sum.
-    hist = hist.withColumn("depth", F.col("net") - F.least(F.lit(0), F.min("net").over(down)))
-    hist = hist.select("size", "gaps", F.coalesce(F.lag("depth").over(down), F.lit(0)).alias("above"))
-    ranked = (
-        salted.withColumn("rank", F.row_number().over(W.partitionBy("kind", "size", "salt").orderBy("id")))
-        .join(F.broadcast(starts), ["kind", "size", "salt"])  # at most SALTS rows a size and kind
-        .join(F.broadcast(hist), "size")
-        .withColumn("rank", F.col("rank") + F.col("before"))
-        .withColumn(
-            "level",
-            F.when(F.col("kind") == 1, F.col("above") + F.col("rank")).otherwise(F.col("above") + F.col("gaps") - F.col("rank") + 1),
-        )
-    )
-    # Unmatched pieces get levels of their own: 0 and below.
-    at = W.partitionBy("level").orderBy(F.desc("size"), F.desc("kind"))
-    near = F.struct("kind", "id", "size")
-    return (
-        ranked.select("kind", "size", "id", "level", "rank")
-        .withColumns({"gap": F.lag(near).over(at), "next": F.lead("kind").over(at)})
-        .withColumn("matched", (F.col("level") > 0) & F.when(F.col("kind") == 1, F.col("next") == 0).otherwise(F.col("gap.kind") == 1))
-        .select("kind", "size", "id", F.coalesce("matched", F.lit(False)).alias("matched"), "gap")
-    )
+def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of ``counts`` pieces of each size, run by run: (size, first rank, sequence, per, offset).
+
+    From its first rank on, ``per`` consecutive pieces of the size fill each sequence from ``offset``
+    on, the first one ``sequence`` and then its successors, up to the next step of that size.  Sizes
+    are 1 to ``capacity``.
+    """
+    steps: list[tuple[int, int, int, int, int]] = []
+    runs: dict[int, list[tuple[int, int]]] = {}  # gap: ranges (first sequence, how many)
+    gaps: list[int] = []  # the gaps in order
+    opened = 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in runs:
+                insort(gaps, gap)
+            runs.setdefault(gap, []).append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect_left(gaps, size)
+            if at < len(gaps):
+                gap = gaps[at]
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del runs[gap], gaps[at]
+            else:
+                gap, first, n = capacity, opened, -(-left // (capacity // size))
+                opened += n
+            per = gap // size
+            full = min(n, left // per)
+            steps.append((size, rank, first, per, capacity - gap))
+            put(gap - per * size, first, full)
+            rank, left = rank + full * per, left - full * per
+            if left and full < n:  # the last ones share a gap that keeps room
+                put(gap - left * size, first + full, 1)
+                full, left = full + 1, 0
+            put(gap, first + full, n - full)
+    return steps
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Add ``sequence_id`` and ``offset``: best-fit packing into sequences of ``capacity``.
 
-    Every row is one piece of ``length`` 0 to ``capacity`` (null or longer: an error).  A
-    sequence is named by the row number of the piece that opened it; offsets in a sequence start
-    at 0 and leave no gaps.  Other columns pass through, columns with the two names are replaced;
-    an empty table stays empty.
+    Every row is one piece of ``length`` 0 to ``capacity`` (null or longer: an error).  Sequences
+    are numbered from 0; offsets in a sequence start at 0 and leave no gaps.  Pieces of length 0 have
+    sequences of their own, ``capacity`` pieces in each.  Pieces of equal length are placed in the
+    order in which they come; repeated rows are pieces of their own.  Other columns pass through,
+    whatever their names; columns with the two names are replaced; an empty table stays empty.
     """
-    base = pieces.drop("sequence_id", "offset", "_uid")
-    # Numbered once and written, so that the numbers stay what they are.
-    base = stage(base.withColumn("_uid", F.monotonically_increasing_id()), "pack-pieces")
-    size = F.coalesce(F.col(length).cast("int"), F.lit(-1))
-    items = base.select(
-        F.col("_uid").alias("id"),
-        F.when(size.between(0, capacity), size)
-        .otherwise(F.raise_error(F.concat(F.lit("piece length out of range: "), size.cast("string"))).cast("int"))
-        .alias("size"),
-    )
-    opened = lambda df: df.select("id", F.col("id").alias("sequence_id"), F.lit(0).alias("offset"))
-    # No two pieces of more than half the capacity fit together.
-    big = F.col("size") * 2 > capacity
-    placed = [opened(items.where(big))]
-    row = lambda kind, size, key: (F.lit(kind).alias("kind"), size.cast("int").alias("size"), key.alias("id"))
-    state = items.where(~big).select(*row(0, F.col("size"), F.col("id"))).unionAll(
-        items.where(big & (F.col("size") < capacity)).select(*row(1, capacity - F.col("size"), F.col("id")))
-    )
-    least = F.min(F.when(F.col("kind") == 0, F.col("size"))).alias("least")
-    held = state.agg(least).first()
-    while held.least is not None:
-        # Gaps below the smallest piece stay as they are and leave the state.
-        swept = stage(_sweep(state.where((F.col("kind") == 0) | (F.col("size") >= max(held.least, 1)))), "pack-sweep")
-        hit, rest = swept.where("matched and kind = 0"), swept.where("not matched")
-        placed.append(
-            hit.select("id", F.col("gap.id").alias("sequence_id"), (capacity - F.col("gap.size")).cast("int").alias("offset"))
-        )
-        state = rest.select("kind", "size", "id").unionAll(
-            hit.select(*row(1, F.col("gap.size") - F.col("size"), F.col("gap.id"))).where("size > 0")
-        )
-        item, width = F.col("kind") == 0, F.col("size").cast("long")
-        held = state.agg(
-            least,
-            F.coalesce(F.sum(F.when(item, width)), F.lit(0)).alias("need"),
-            F.coalesce(F.sum(F.when(~item, width)), F.lit(0)).alias("room"),
-            F.coalesce(F.max(F.when(item, F.col("size"))), F.lit(0)).alias("top"),
-            F.coalesce(F.max(F.when(~item, F.col("size"))), F.lit(-1)).alias("widest"),
-        ).first()
-        # What the pieces left need beyond the room left: so many new sequences, opened by the largest.
-        new = max(-(-(held.need - held.room) // capacity), 0)
-        if held.least is not None and held.top > held.widest:
-            new = max(new, 1)
-        if new:
-            wait = rest.where("kind = 0").select("id", "size")
-            # A row per size: at most as many as the capacity.
-            sizes = sorted(((r["size"], r["count"]) for r in wait.groupBy("size").count().collect()), reverse=True)
-            edge, over = 0, new
-            for edge, n in sizes:
-                if over <= n:
-                    break
-                over -= n
-            opening = stage(wait.where(F.col("size") > edge).unionAll(_lowest(wait.where(F.col("size") == edge), over)), "pack-open")
-            placed.append(opened(opening))
-            state = state.join(opening.select("id", F.lit(0).alias("kind")), ["id", "kind"], "left_anti").select("kind", "size", "id")
-            state = state.unionAll(opening.where(F.col("size") < capacity).select(*row(1, capacity - F.col("size"), F.col("id"))))
-            held = state.agg(least).first()
-    at = union_all(placed).select(F.col("id").alias("_uid"), "sequence_id", F.col("offset").cast("long").alias("offset"))
-    return base.join(at, "_uid").drop("_uid")
-
-
-def _lowest(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows of lowest hash of id, found by ranks within parts."""
-    parts = rows.withColumn("_h", F.xxhash64("id")).withColumn("_p", F.shiftright("_h", 52))
-    count = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # at most 4,096 rows
-    starts = count.withColumn("_b", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n")).drop("_n")
-    return (
-        parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("_h", "id")))
-        .join(F.broadcast(starts), "_p")
-        .where(F.col("_r") + F.col("_b") <= n)
-        .select(*rows.columns)
+    spark = pieces.sparkSession
+    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    size = F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(-1))
+    size = F.when(size.between(0, capacity), size).otherwise(
+        F.raise_error(F.concat(F.lit("piece length out of range: "), size.cast("string"))).cast("long")
     )
+    # Numbered once and written, so that the numbers stay what they are.
+    base = pieces.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), size.alias("size"))
+    base = stage(base.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
+    part = F.shiftright("uid", 33).alias("part")  # the partition that wrote the row
+    parts = stage(base.groupBy("size", part).agg(F.count(F.lit(1)).alias("n")), "pack-parts")
+    # A row per size: at most as many as the capacity.
+    counts = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    nothing = counts.pop(0, 0)
+    steps = sorted(sweep(counts, capacity))
+    opened = 1 + max((s[2] for s in steps), default=-1) + sum(counts.values()) if nothing else 0
+    if nothing:
+        steps.insert(0, (0, 0, opened, capacity, 0))
+    table = np.array(steps, np.int64).reshape(-1, 5).T
+    shared = spark.sparkContext.broadcast(table)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, ranks, first, per, offset = shared.value
+        keys = (sizes << 44) | ranks
+        for batch in batches:
+            size, rank = (np.asarray(batch.column(i)) for i in (1, 2))
+            at = np.searchsorted(keys, (size << 44) | rank, "right") - 1
+            turn, slot = np.divmod(rank - ranks[at], per[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(first[at] + turn), pa.array(offset[at] + slot * size)], names=["row", "sequence_id", "offset"]
+            )
+
+    before = F.sum("n").over(W.partitionBy("size").orderBy("part")) - F.col("n")
+    within = F.row_number().over(W.partitionBy("size", "part").orderBy("uid")) - 1
+    ranked = base.withColumn("part", part).withColumn("rank", within)
+    ranked = ranked.join(parts.select("size", "part", before.alias("before")), ["size", "part"])
+    shape = T.StructType([base.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = ranked.select("row", "size", (F.col("rank") + F.col("before")).alias("rank")).mapInArrow(place, shape)
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def test_tokenizer_equals_library():
     lib = Tokenizer.from_file(path)
     lib.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        own = packing.UnitTokenizer(f.read())
+        own = packing.ByteTokenizer(f.read())
     rng = random.Random(4)
     bits = ["a", "b", "'s", " ", "  ", "\n", "\t", ".", ",", "1", "é", "\xa0", "'", "<|endoftext|>", "漢", "\x1c", "!?", "½", " .", "\r\n", "hello", " World"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
