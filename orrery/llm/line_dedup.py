@@ -4,11 +4,12 @@ A line's tokens are its distinct runs of five words (the whole line, if it has f
 with equal words are one class.  Two classes match when the Jaccard similarity of their tokens
 is at least 0.8; a line is removed if an earlier line is of its class or matches it.
 
-The join runs in two steps.  A prefix filter in hash order, over all lines, finds the classes
-that share a prefix token with another class; lines outside it match nothing.  For the classes
-left, tokens are counted, ordered by rarity, and joined with prefix, length and positional
-filters.  Each class first meets the earliest class of each of its lists; only those that this
-leaves undecided are joined with all earlier classes.
+The join runs in two steps.  Over all lines, a semi-join on the prefixes in hash order finds the
+classes that have a possible partner; all others match nothing.  For the classes left, tokens are
+counted, ordered by rarity, and joined with prefix, length and positional filters.  Each class
+first meets the earliest class of each of its lists; only those that this leaves undecided are
+joined with all earlier classes.  Both steps also compare 128 parities of the tokens, which bound
+the tokens that differ: near misses, of which a group of edited copies has a square, end there.
 """
 
 from __future__ import annotations
@@ -25,24 +26,24 @@ TOP, BOTTOM = 4, 5
 CELLS = 1 << 16
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words between ASCII white space."""
-    low = F.lower(line)
-    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\f"))
-    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\f", "    ")).otherwise(low), " "), "")
+def _plain(text: Column) -> Column:
+    """Lower-cased, with blanks for other ASCII white space inside lines; lines keep their places."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
+    return F.lower(F.when(odd, F.translate(text, "\t\r\x0b\f", "    ")).otherwise(text))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """``line`` becomes ``hs``, the hashes of its words; lines without words go."""
-    rows = rows.withColumn("words", _words(F.col("line"))).drop("line").where(F.size("words") > 0)
-    return rows.withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    """``line``, made plain, becomes ``hs``, the hashes of its words; lines without words go."""
+    # The test reads the line: a test of the words would split every line twice.
+    words = F.array_remove(F.split("line", " "), "")
+    return rows.where(F.trim("line") != "").withColumn("hs", F.transform(words, lambda w: F.xxhash64(w))).drop("line")
 
 
 def _tokens() -> Column:
     """Sorted distinct 64-bit hashes of the word runs of ``hs``."""
     n = SHINGLE
-    parts = ", ".join(f"get(hs, i + {k})" for k in range(n))
-    runs = f"transform(sequence(0, size(hs) - {n}), i -> xxhash64({parts}))"
+    parts = ", ".join(f"get(hs, i + {k})" for k in range(1, n))
+    runs = f"transform(slice(hs, 1, size(hs) - {n - 1}), (w, i) -> xxhash64(w, {parts}))"
     return F.expr(f"sort_array(array_distinct(CASE WHEN size(hs) >= {n} THEN {runs} ELSE array(xxhash64(hs, size(hs))) END))")
 
 
@@ -56,6 +57,35 @@ def _enough(common: Column, m: str, n: str) -> Column:
     return common * (TOP + BOTTOM) >= TOP * (F.col(m) + F.col(n))
 
 
+def _parity(word: int) -> Column:
+    """64 bits of parities: bit ``t & 63`` of the tokens ``t`` whose bit 6 is ``word``."""
+    return F.expr(f"aggregate(tokens, 0L, (a, t) -> CASE WHEN (t & 64) = {64 * word} THEN a ^ shiftleft(1L, CAST(t & 63 AS INT)) ELSE a END)")
+
+
+def _near(x: str, y: str) -> Column:
+    """What a pair must fulfil to reach the similarity; ``x`` and ``y`` are the prefixes of its columns.
+
+    Sizes within the similarity; no more overlap than tokens left from the shared one on and before
+    it; and no more than the parities allow, as every differing bit is a token of one side only.
+    """
+    c = lambda side, name: F.col(f"{side}{name}")
+    total = c(x, "m") + c(y, "m")
+    sizes = F.least(c(x, "m"), c(y, "m")) * BOTTOM >= F.greatest(c(x, "m"), c(y, "m")) * TOP
+    room = F.least(c(x, "at"), c(y, "at")) + F.least(c(x, "m") - c(x, "at"), c(y, "m") - c(y, "at"))
+    apart = F.bit_count(c(x, "b0").bitwiseXOR(c(y, "b0"))) + F.bit_count(c(x, "b1").bitwiseXOR(c(y, "b1")))
+    return sizes & (room * (TOP + BOTTOM) >= total * TOP) & ((total - apart) * (TOP + BOTTOM) >= total * (2 * TOP))
+
+
+def _with_partner(entries: DataFrame) -> DataFrame:
+    """The classes (k1, k2, b0, b1) that could match another one of their lists.  Each entry looks for one partner, so pairs are not listed."""
+    names = ["k1", "k2", "m", "b0", "b1", "at"]
+    x = entries.select("token", *[F.col(c).alias(f"x{c}") for c in names])
+    y = entries.select(F.col("token").alias("ytoken"), *[F.col(c).alias(f"y{c}") for c in names])
+    other = (F.col("xk1") != F.col("yk1")) | (F.col("xk2") != F.col("yk2"))
+    found = x.join(y, (F.col("token") == F.col("ytoken")) & other & _near("x", "y"), "left_semi")
+    return found.select(F.col("xk1").alias("k1"), F.col("xk2").alias("k2"), F.col("xb0").alias("b0"), F.col("xb1").alias("b1")).distinct()
+
+
 def line_decisions(docs: DataFrame) -> DataFrame:
     """(doc_id, h, gone): for every text that loses lines, the positions (from 0) of those.
 
@@ -63,23 +93,26 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     position.  Blank lines, null and empty texts lose nothing.  Rows of equal doc_id and text are
     one text.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # Hashed once a text, not once a line.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), _plain(F.col("text")).alias("text"))
+    rows = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     made = _hashed(rows).withColumns({"k1": F.xxhash64("hs"), "k2": F.xxhash64(F.lit(1), "hs"), "tokens": _tokens()}).drop("hs")
-    made = made.withColumn("p", _prefix("size(tokens)"))
-    lines = stage(made.select("doc_id", "h", "pos", "k1", "k2", F.slice("tokens", F.lit(1), F.col("p")).alias("prefix")), "line-rows")
+    made = made.withColumns({"m": F.size("tokens"), "b0": _parity(0), "b1": _parity(1)})
+    lines = stage(made.select("doc_id", "h", "pos", "k1", "k2", "m", "b0", "b1", F.slice("tokens", F.lit(1), _prefix("m")).alias("prefix")), "line-rows")
     first = F.struct("doc_id", "h", "pos")
     classes = stage(lines.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
-    live = stage(
+    live = (
         lines.select("k1", F.explode("prefix").alias("token"))
         .groupBy("token")
         .agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
         .where("a < b")
-        .select("token"),
-        "line-live",
     )
-    linked = by_keys(lines.select("k1", "k2", F.explode("prefix").alias("token")), live, "token").select("k1", "k2").distinct()
+    live = stage(live.select("token"), "line-live")
+    entries = lines.select("k1", "k2", "m", "b0", "b1", F.posexplode("prefix").alias("at", "token"))
+    entries = stage(by_keys(entries, live, "token").distinct(), "line-shared")
+    linked = stage(_with_partner(entries), "line-partners")
     # Numbered in the order of their first lines: of two classes the earlier has the smaller number.
-    linked = linked.join(classes, ["k1", "k2"]).select("k1", "k2", "first").orderBy("first")
+    linked = linked.join(classes, ["k1", "k2"]).select("k1", "k2", "first", "b0", "b1").orderBy("first")
     linked = stage(linked.withColumn("cid", F.monotonically_increasing_id()), "line-linked")
     found = _matched(docs, lines, linked)
     gone_classes = linked.join(found, "cid")
@@ -98,21 +131,22 @@ def line_decisions(docs: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     )
     out = stage(gone, "line-gone")
-    discard(lines, classes, live, linked, touched)
+    discard(lines, classes, live, entries, linked, touched)
     return out
 
 
 def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
     """The classes (cid) of ``linked`` that match an earlier one."""
-    spots = linked.select("first.doc_id", "first.h", "first.pos", "cid").groupBy("doc_id", "h")
-    spots = spots.agg(F.collect_list(F.struct("pos", "cid")).alias("at")).select(F.col("doc_id").alias("s_doc"), F.col("h").alias("s_h"), "at")
+    spots = linked.select("first.doc_id", "first.h", F.struct("first.pos", "cid", "b0", "b1").alias("e")).groupBy("doc_id", "h")
+    spots = spots.agg(F.collect_list("e").alias("at")).select(F.col("doc_id").alias("s_doc"), F.col("h").alias("s_h"), "at")
     spots = stage(spots, "line-spots")
     n = linked.limit(BROADCAST_KEYS + 1).count()
     side = F.broadcast(spots) if n <= BROADCAST_KEYS else spots
     texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     rows = texts.join(side, (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_doc")))
-    rows = rows.select(F.split("text", "\n").alias("all"), F.explode("at").alias("e")).select("e.cid", F.get("all", F.col("e.pos")).alias("line"))
-    rows = _hashed(rows).select("cid", _tokens().alias("tokens"))
+    rows = rows.select(F.split(_plain(F.col("text")), "\n").alias("all"), "at")
+    line = lambda e: e.withField("line", F.get(F.col("all"), e["pos"]))
+    rows = _hashed(rows.select(F.explode(F.transform("at", line)).alias("e")).select("e.*")).select("cid", "b0", "b1", _tokens().alias("tokens"))
     # A row of documents that is there several times gives its lines several times.
     firsts = lines.join(linked.select("k1", "k2", "first", "cid"), ["k1", "k2"]).where(F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
     if not firsts.groupBy("cid").count().where("count > 1").isEmpty():
@@ -127,36 +161,31 @@ def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
     table = stage(table, "line-rarity").scalar()
     rarest = F.sort_array(F.transform("tokens", lambda t: F.struct(F.get(F.col("cells"), cell(t)).alias("n"), t.alias("t"))))
     ranked = sets.withColumn("cells", table).withColumns({"by": rarest, "m": F.size("tokens")}).withColumn("p", _prefix("m"))
-    entries = ranked.select("cid", "m", F.posexplode(F.slice("by", F.lit(1), F.col("p"))).alias("at", "e")).select("cid", "m", "at", F.col("e.t").alias("token"))
-    entries = stage(entries, "line-entries")
-    heads = entries.groupBy("token").agg(F.min(F.struct("cid", "m", "at")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = stage(heads.select("token", F.col("y.cid").alias("y"), F.col("y.m").alias("ym"), F.col("y.at").alias("ya")), "line-heads")
-    x = entries.select("token", F.col("cid").alias("x"), F.col("m").alias("xm"), F.col("at").alias("xa"))
-    x = stage(x.join(heads, "token"), "line-met")
-    done = stage(_verified(x, sets), "line-done")
-    left = stage(x.select("token", "x", "xm", "xa").join(done, "x", "left_anti"), "line-open")
-    y = stage(entries.join(left.select("token").distinct(), "token", "left_semi").select("token", F.col("cid").alias("y"), F.col("m").alias("ym"), F.col("at").alias("ya")), "line-lists")
-    rest = stage(_verified(left.join(y, "token"), sets), "line-rest")
-    discard(spots, sets, counts, entries, heads, x, left, y)
-    return done.unionAll(rest).distinct().select(F.col("x").alias("cid"))
+    entries = ranked.select("cid", "b0", "b1", "m", F.posexplode(F.slice("by", F.lit(1), F.col("p"))).alias("at", "e"))
+    names = ["cid", "m", "at", "b0", "b1"]
+    entries = stage(entries.select(F.col("e.t").alias("token"), *names), "line-entries")
+    heads = entries.groupBy("token").agg(F.min(F.struct(*names)).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = stage(heads.select("token", *[F.col(f"y.{c}").alias(f"y{c}") for c in names]), "line-heads")
+    x = entries.select("token", *[F.col(c).alias(f"x{c}") for c in names])
+    met = stage(x.join(heads, "token").where("ycid < xcid"), "line-met")
+    done = stage(_verified(met.where(_near("x", "y")), sets), "line-done")
+    left = stage(met.select(*x.columns).join(done, "xcid", "left_anti"), "line-open")
+    y = entries.select(F.col("token").alias("ytoken"), *[F.col(c).alias(f"y{c}") for c in names])
+    later = (F.col("token") == F.col("ytoken")) & (F.col("ycid") < F.col("xcid")) & _near("x", "y")
+    rest = stage(_verified(left.join(y, later), sets), "line-rest")
+    discard(spots, sets, counts, entries, heads, met, left)
+    return done.unionAll(rest).distinct().select(F.col("xcid").alias("cid"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The x that reach the similarity with an earlier y, after the length and positional filters."""
-    room = F.least("xa", "ya") + F.least(F.col("xm") - F.col("xa"), F.col("ym") - F.col("ya"))
-    pairs = (
-        pairs.where(F.col("y") < F.col("x"))
-        .where((F.least("xm", "ym") * BOTTOM >= F.greatest("xm", "ym") * TOP) & _enough(room, "xm", "ym"))
-        .select("x", "y", "xm", "ym")
-        .distinct()
-    )
-    pairs = stage(pairs, "line-pairs")
+    """The xcid whose tokens reach the similarity with those of a ycid."""
+    pairs = stage(pairs.select("xcid", "ycid", "xm", "ym").distinct(), "line-pairs")
     out = (
-        pairs.join(sets.select(F.col("cid").alias("x"), F.col("tokens").alias("xt")), "x")
-        .join(sets.select(F.col("cid").alias("y"), F.col("tokens").alias("yt")), "y")
+        pairs.join(sets.select(F.col("cid").alias("xcid"), F.col("tokens").alias("xt")), "xcid")
+        .join(sets.select(F.col("cid").alias("ycid"), F.col("tokens").alias("yt")), "ycid")
         .where(_enough(F.size(F.array_intersect("xt", "yt")), "xm", "ym"))
     )
-    return out.select("x").distinct()
+    return out.select("xcid").distinct()
 
 
 def dedup_lines(docs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
