@@ -7,8 +7,11 @@ documents with enough hits are candidates, whose remaining shingles are found by
 until the overlap is reached or out of reach.
 
 Equal sets are one class.  Classes that share a minimum hash are compared with one leader of the
-group first, so that groups of near copies become one component in linear work; the search then
-only looks for links between different components.
+group by minimum hashes first, so that groups of near copies become one component in linear work;
+the search then only looks for links between different components.  Entries of long lists carry the
+parities of their set's shingles by hash, about a bit a shingle.  Every parity in which two sets
+differ is a shingle of one side only, so near misses of the similarity, of which a group of edited
+copies has a square, are told apart before they become candidates.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ CELLS = 1 << 18
 MINIMA, LEADER_ROUNDS = 3, 2
 #: Entries of an inverted list that travel together.
 LIST_ENTRIES = 1024
-#: Entries of one component in a list from which on they have a list of their own.
-OWN_LIST = 32
+#: Entries of one component in a list from which on they have a list of their own, and of a list from which on they carry parities.
+OWN_LIST, PARITY_LIST = 32, 32
 CHUNK_CHARS = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -134,8 +137,25 @@ def _cell_counts(parts: DataFrame) -> np.ndarray:
     return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each remainder of the shingles' hashes by a power of two of at least their number: whether it is left an odd number of times."""
+    bits = 1 << max(7, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that at least are in one of the two sets only, by their parities."""
+    a, b, wide = int.from_bytes(x, "little"), int.from_bytes(y, "little"), max(len(x), len(y))
+    if len(x) < len(y):
+        a, b = b, a
+    while wide > min(len(x), len(y)):  # half as many remainders: the two halves are added
+        wide //= 2
+        a = (a >> 8 * wide) ^ (a & ((1 << 8 * wide) - 1))
+    return (a ^ b).bit_count()
+
+
 def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, tokens): the shingles whose lists count as short, rarest first."""
+    """(doc_id, n, sig, par, tokens): the shingles whose lists count as short, rarest first, and the parities of all."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +172,19 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                 short = len(s) - need + min(SHORT_HITS, need)
                 rank = cells[(s >> np.uint64(46)).astype(np.int64)]
                 order = np.lexsort((s, rank))[:short]
-                rows.append((key.as_py(), len(s), xxhash.xxh3_128_digest(s.tobytes()), s[order].view(np.int64)))
+                rows.append((key.as_py(), len(s), xxhash.xxh3_128_digest(s.tobytes()), parities(s), s[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.binary()),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.binary()),
+                    pa.array([r[4] for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "sig", "tokens"],
+                names=["doc_id", "n", "sig", "par", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, par binary, tokens array<long>")
 
 
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -254,7 +275,7 @@ def _leader_pairs(classes: DataFrame, components: DataFrame | None, round_: int,
 
 
 def _search(postings: DataFrame, percent: int) -> DataFrame:
-    """Candidates of different components from (id, n, comp, tokens): heap-merged short lists."""
+    """Candidates of different components from (id, n, comp, par, tokens): heap-merged short lists."""
     flat = postings.select("id", "n", "comp", F.explode("tokens").alias("token"))
     # Lists that could link two components; all others, mostly of one document, end here.
     live = (
@@ -267,23 +288,32 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
     flat = stage(flat.join(live, "token"), "jac-postings")
     # Entries of one component with many in a list have lists of their own, which its members skip.
     per = flat.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= OWN_LIST).select("token", "comp", F.lit(True).alias("own"))
+    long = F.col("df") >= PARITY_LIST
+    # Parities: of the entries of long lists, and once a document that asks for such a list.
+    par = postings.select("id", "par").join(flat.where(long).select("id").distinct(), "id")
+    par = stage(par, "jac-parities")
+    entries = flat.where(~long).withColumn("par", F.lit(None).cast("binary")).unionByName(flat.where(long).join(par, "id"))
     field = lambda c: F.transform("e", lambda e: e[c])
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / LIST_ENTRIES).cast("long"))
+    columns = (("id", "ids"), ("n", "sizes"), ("comp", "comps"), ("par", "pars"))
     lists = (
-        flat.join(per, ["token", "comp"], "left")
+        entries.join(per, ["token", "comp"], "left")
         .withColumns({"part": part, "l_comp": F.when(F.col("own"), F.col("comp"))})
         .groupBy("token", "l_comp", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("e"), F.max("comp").alias("top"))
-        .select("token", "l_comp", "top", *[field(c).alias(n) for c, n in (("id", "ids"), ("n", "sizes"), ("comp", "comps"))])
+        .agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp", "par"))).alias("e"), F.max("comp").alias("top"))
+        .select("token", "l_comp", "top", *[field(c).alias(n) for c, n in columns])
     )
     lists = stage(lists, "jac-lists")
     # Each pair is met once: by the document of the smaller component.
-    asked = flat.join(lists, "token").where(F.col("comp") < F.coalesce("l_comp", "top")).select("id", "n", "comp", "ids", "sizes", "comps")
+    asked = flat.join(lists, "token").where(F.col("comp") < F.coalesce("l_comp", "top"))
+    asked = asked.select("id", F.lit(None).cast("binary").alias("par"), "n", "comp", *[n for _, n in columns])
+    none = [F.lit(None).cast(asked.schema[n].dataType).alias(n) for n in asked.columns[2:]]
+    asked = asked.unionAll(par.select("id", "par", *none))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by id: the lists of one query stand together."""
+        """Rows come sorted by id, parities first: the lists of one query stand together."""
 
-        def candidates(n: int, lists: list) -> list[int]:
+        def candidates(n: int, own: bytes | None, lists: list, pars: dict) -> list[int]:
             long_x = least_overlap(n, percent) - min(SHORT_HITS, least_overlap(n, percent))
             out, last, size, count = [], None, 0, 0
 
@@ -294,7 +324,10 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
                 # other; the rest of the overlap lies in its long part.
                 need = -(-percent * (n + size) // (100 + percent))
                 long_y = least_overlap(size, percent) - min(SHORT_HITS, least_overlap(size, percent))
-                if count >= max(need - max(long_x, long_y), 1):
+                if count < max(need - max(long_x, long_y), 1):
+                    return
+                theirs = pars.get(last)
+                if own is None or theirs is None or n + size - least_apart(own, theirs) >= 2 * need:
                     out.append(last)
 
             for y, m in heapq.merge(*lists):
@@ -305,12 +338,12 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
             close()
             return out
 
-        query, size, held = None, 0, []
+        query, size, own, held, pars = None, 0, None, [], {}
         out: tuple[list, list] = ([], [])
 
         def close() -> None:
-            if query is not None:
-                for y in candidates(size, held):
+            if held:
+                for y in candidates(size, own, held, pars):
                     out[0].append(query)
                     out[1].append(y)
 
@@ -321,21 +354,27 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
             return batch
 
         for batch in batches:
-            for x, n, comp, ids, sizes, comps in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for x, p, n, comp, ids, sizes, comps, theirs in zip(*(batch.column(i) for i in range(8)), strict=True):
                 x = x.as_py()
                 if x != query:
                     close()
-                    query, size, held = x, n.as_py(), []
-                own = comp.as_py()
-                held.append([(y, m) for y, m, c in zip(ids.as_py(), sizes.as_py(), comps.as_py(), strict=True) if own < c])
+                    query, own, held, pars = x, None, [], {}
+                if not ids.is_valid:
+                    own = p.as_py()
+                    continue
+                size, mine = n.as_py(), comp.as_py()
+                ids, comps = ids.as_py(), comps.as_py()
+                held.append([(y, m) for y, m, c in zip(ids, sizes.as_py(), comps, strict=True) if mine < c])
+                if theirs.values[0].is_valid:
+                    pars.update((y, b) for y, b, c in zip(ids, theirs.as_py(), comps, strict=True) if mine < c)
             if len(out[0]) > 20_000:
                 yield flush()
         close()
         yield flush()
 
-    found = asked.repartition("id").sortWithinPartitions("id").mapInArrow(merge, "x long, y long")
+    found = asked.repartition("id").sortWithinPartitions("id", F.col("ids").isNotNull()).mapInArrow(merge, "x long, y long")
     pairs = stage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jac-pairs")
-    discard(live, flat, lists)
+    discard(live, flat, lists, par)
     return pairs
 
 
@@ -369,7 +408,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         discard(pairs)
         components = connected_components(_union(near))
     tokens = _prefixes(docs, words, percent, counts).join(classes.select(F.col("id").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi")
-    short = stage(_with_component(tokens.select(F.col("doc_id").alias("id"), "n", "tokens"), components), "jac-short")
+    short = stage(_with_component(tokens.select(F.col("doc_id").alias("id"), "n", "par", "tokens"), components), "jac-short")
     pairs = _search(short, percent)
     near.append(_verify(docs, pairs, words, percent))
     discard(short, pairs)
