@@ -191,26 +191,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """``docs`` with the later matches taken out of ``text``, and ``lines_removed`` (int, replaced if there).
 
-    Other lines keep their order and their bytes.  A text may become empty; null stays null.
+    Other lines keep their order and their bytes.  A text may become empty; null stays null.  Other
+    columns pass through whatever their names; rows that are there several times are one text and
+    lose the same lines; an empty table stays empty.
     """
     gone = line_decisions(docs.select("doc_id", "text")) if decisions is None else decisions
     keep = [c for c in docs.columns if c != "lines_removed"]
-    side = gone.select(F.col("doc_id").alias("g_doc"), F.col("h").alias("g_h"), "gone")
+    side = gone.select("doc_id", "h", "gone")
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("k")).first()
     if size.n <= BROADCAST_KEYS and size.k <= 4 * BROADCAST_KEYS:
         side = F.broadcast(side)
-    joined = docs.select(*keep).join(side, (F.xxhash64("text") == F.col("g_h")) & F.col("doc_id").eqNullSafe(F.col("g_doc")), "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    )
-    return joined.withColumns({"text": text, "lines_removed": F.coalesce(F.size("gone"), F.lit(0))}).select(*keep, "lines_removed")
+    own = lambda c: F.col(f"d.`{c}`")
+    joined = docs.alias("d").join(side.alias("g"), (F.xxhash64(own("text")) == F.col("g.h")) & own("doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    left = F.array_join(F.filter(F.split(own("text"), "\n"), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
+    text = F.when(F.col("g.gone").isNull(), own("text")).otherwise(left).alias("text")
+    return joined.select(*[text if c == "text" else own(c) for c in keep], F.coalesce(F.size("g.gone"), F.lit(0)).alias("lines_removed"))
 
 
 def without_emptied(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: texts without later lines; documents of which nothing but blanks is left are dropped."""
-    out = dedup_lines(docs)
+    """The pipeline's stage: texts without later lines; documents of which nothing but blanks is left are dropped.
+
+    Returns the columns of ``docs`` and no others; ``n_chars``, if there, is the length of what is left.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row")) if len(docs.columns) > 2 else docs
+    out = dedup_lines(rows)
     left = F.coalesce(F.trim(F.translate("text", "\n\t\r\x0b\f", "     ")), F.lit("")) != ""
-    return out.where((F.col("lines_removed") == 0) | left).select(*docs.columns)
+    kind = dict(docs.dtypes).get("n_chars")
+
+    def column(c: str) -> Column:
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        old = F.col(f"row.`{c}`")
+        return (F.when(F.col("lines_removed") > 0, F.length("text").cast(kind)).otherwise(old) if c == "n_chars" else old).alias(c)
+
+    return out.where((F.col("lines_removed") == 0) | left).select(*[column(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,15 +65,19 @@ def mix(docs: DataFrame, size: Column, seed: int = 7, weights=WEIGHTS, max_repea
     size 0 get copies like others, which take no words.  A source without words has target 0 and
     no copies.  Copies differ by at most one between documents of a source and are at most
     ``max_repeat``; documents are passed in order of size, so words taken follow the target.
-    The offset is a hash of seed and source: reruns on the same rows agree.
+    The offset is a hash of seed and source, and rows of one doc_id and size are ordered by a hash
+    of all their columns: reruns on the same rows agree.  Rows that are equal in all columns share
+    their places.  Other columns pass through whatever their names; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "_bucket", "_salt")]
-    rows = docs.select(*keep, size.cast("long").alias("size"))
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    # The row travels whole, so that no name of its columns meets one of the plan's.
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), row)
     # Runs of similar sizes (quarters of a power of two), each dealt to SALTS parts.
     bits = "length(bin(size))"
     bucket = F.expr(f"CASE WHEN size > 0 THEN CAST(4 * {bits} + shiftright(shiftleft(size, 3), {bits}) AS INT) ELSE 0 END")
     part = _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS
-    rows = rows.withColumns({"_bucket": bucket, "_salt": part.cast("int")})
+    rows = rows.withColumns({"_bucket": bucket, "_salt": part.cast("int"), "_tie": F.xxhash64("row")})
     parts = stage(
         rows.groupBy("source", "_bucket", "_salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-parts"
     )
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 7, weights=WEIGHTS, max_repea
     )
     plan = stage(plan, "mix-plan")
     ranked = rows.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("source", "_bucket", "_salt").orderBy("size", "doc_id", *_ties(docs)))
+        "_rank", F.row_number().over(W.partitionBy("source", "_bucket", "_salt").orderBy("size", "doc_id", "_tie"))
     )
     edge = lambda r: F.floor(r * F.col("rate") + F.col("u"))
     last = F.col("start") + F.col("_rank")
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 7, weights=WEIGHTS, max_repea
             "left",
         )
         .withColumn("copies", (edge(last) - edge(last - 1)).cast("int"))
-        .select(*keep, "size", "source_size", "target", "copies")
+        .select("row.*", "size", "source_size", "target", "copies")
     )
 
 
@@ -128,11 +132,6 @@ def _hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _ties(docs: DataFrame) -> list[str]:
-    """Columns that order rows of the same doc_id and size."""
-    return [c for c in ("lang",) if c in docs.columns]
-
-
 def sizes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): the text is read once."""
     return stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
@@ -167,5 +166,6 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` with every document repeated as often as the mix takes it; all its columns and no others."""
-    out = mix(docs, word_count(F.col("text")), seed)
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).where("copies > 0").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = mix(docs.select("doc_id", "source", row), word_count(F.col("row.text")), seed).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

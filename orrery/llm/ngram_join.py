@@ -451,26 +451,27 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
     The row of the smallest doc_id is kept.  Texts that share a doc_id are a group only if they are
     near copies; the order of their digests decides between them, and that of all columns between
-    rows of the same id and text.
+    rows of the same id and text.  Other columns pass through whatever their names.
     """
-    columns = docs.columns
+    # The row travels whole, so that no name of its columns meets one of the plan's.
+    docs = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jac-repeated")
     keys = _own_keys(docs, repeated)
     several = stage(keys.select("doc_id").distinct(), "jac-several")
-    rest = by_keys(docs, several, "doc_id", "left_anti").withColumn("_key", F.col("doc_id").cast("long"))
-    own = by_keys(docs, several, "doc_id").withColumn("digest", _digest()).join(keys.select("doc_id", "digest", F.col("key").alias("_key")), ["doc_id", "digest"])
-    rows = rest.unionByName(own.select(*columns, "_key"))
-    found = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent)
+    rest = by_keys(docs, several, "doc_id", "left_anti").withColumn("key", F.col("doc_id").cast("long"))
+    own = by_keys(docs, several, "doc_id").withColumn("digest", _digest()).join(keys.select("doc_id", "digest", "key"), ["doc_id", "digest"])
+    rows = rest.unionByName(own.select(*rest.columns))
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"), words, percent)
     found = stage(found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct(), "jac-found")
     # The first of a component by id and rank: its own number unless texts with new numbers are in it.
     place = F.struct(F.coalesce("doc_id", "key").alias("id"), F.coalesce("rank", F.lit(1)).alias("rank"))
     best = found.join(keys.select("key", "doc_id", "rank"), "key", "left").groupBy("component_id").agg(F.min_by("key", place).alias("best"))
-    drop = stage(found.join(best, "component_id").where("key <> best").select(F.col("key").alias("_key")), "jac-drop")
-    kept = by_keys(rows, drop, "_key", "left_anti")
-    again = repeated.join(several, "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("_key")).unionAll(keys.select("key"))
-    once = by_keys(kept, again, "_key", "left_anti").select(*columns)
-    more = by_keys(kept, again, "_key").groupBy("_key").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
-    return once.unionByName(more).select(*columns)
+    drop = stage(found.join(best, "component_id").where("key <> best").select("key"), "jac-drop")
+    kept = by_keys(rows, drop, "key", "left_anti")
+    again = repeated.join(several, "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("key")).unionAll(keys.select("key"))
+    once = by_keys(kept, again, "key", "left_anti").select("row")
+    more = by_keys(kept, again, "key").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    return once.unionAll(more).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

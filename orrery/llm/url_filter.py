@@ -55,8 +55,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     A rule fits its host and all its subdomains if the path starts with the rule's path.  The
     longest rule (host plus path) wins; of one rule listed as allow and block, block.  No rule:
     ``rule`` is null and the verdict ``default``.  Null or unparsable URLs have an empty host,
-    which no rule fits.  Columns of ``pages`` with the names of the four results are replaced;
-    repeated rows stay repeated.
+    which no rule fits.  Columns of ``pages`` with the names of the four results are replaced, others
+    pass through whatever their names; repeated rows stay repeated, an empty table stays empty, and
+    a URL of any length makes as many expressions as the rules ask for.
     """
     spark = pages.sparkSession
     clash = [c for c in pages.columns if c in ("host", "path", "rule", "verdict") and c != url]
@@ -103,11 +104,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         ).alias("best")
     )
     # Written out first, so that the join below can split a host that holds many rows.
-    best = stage(best.select("host", "path", "best.rule", "best.block"), "url-rules")
-    return base.join(best, ["host", "path"], "left").select(
-        *[c for c in base.columns],
-        "rule",
-        F.when(F.col("block"), "block").when(~F.col("block"), "allow").otherwise(default).alias("verdict"),
+    best = stage(best.select("host", "path", "best.rule", "best.block"), "url-rules").alias("b")
+    same = (F.col("p.host") == F.col("b.host")) & (F.col("p.path") == F.col("b.path"))
+    return base.alias("p").join(best, same, "left").select(
+        *[F.col(f"p.`{c}`") for c in base.columns],
+        F.col("b.rule").alias("rule"),
+        F.when(F.col("b.block"), "block").when(~F.col("b.block"), "allow").otherwise(default).alias("verdict"),
     )
 
 
