@@ -47,11 +47,6 @@ def uncertainty(metric: str, h: Column, span_max: Column) -> Column:
     raise ValueError(f"unknown uncertainty metric: {metric}")
 
 
-def ucb_bonus(c: float, total: Column, count: Column) -> Column:
-    """Exploration bonus; a niche never visited has an infinite one."""
-    return F.when(count > 0, F.lit(c) * F.sqrt(F.ln(total) / count)).otherwise(F.lit(float("inf")))
-
-
 def histogram_bin(x: Column, bins: int = 20) -> Column:
     """Equal bins on [0, 1], the last closed."""
     return F.least(F.floor(x * bins), F.lit(bins - 1)).cast("int")
@@ -75,3 +70,8 @@ def warmup(step: Column, steps: int) -> Column:
 def unit_hash(*keys: Column, seed: int = 0) -> Column:
     """A reproducible uniform number in [0, 1) of the keys."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def md5_unit(key: Column) -> Column:
+    """A reproducible uniform number in [0, 1) of a text: its MD5's first 32 bits."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)

@@ -9,12 +9,28 @@ from pyspark.sql import functions as F
 BOXED = r"\\boxed\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
 BOXED_FLAT = r"\\boxed\{([^{}]*)\}"
 BOXED_GREEDY = r"\\boxed\{(.*)\}"
+BOXED_DEEP = r"\\boxed\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+)\}"
 FINAL_ANSWER = r"Final Answer:((?:[^<\n]|<[^<])*+)\n"
+THE_ANSWER = r"The answer is:((?:[^<\n]|<[^<])*+)\n"
+CHOICE = r"(?:\$\$\s*)?\\boxed\{[^}]*?([A-Z])[^}]*\}(?:\s*\$\$)?|(?:\*{0,2}\s*)?(?:Final|Correct)\s*Answer:\s*([A-Z])\."
+CHAT_USER, CHAT_ASSISTANT, PLAIN_ASSISTANT = "<|im_start|>user", "<|im_start|>assistant", "Assistant:"
+STOP_WORDS = ["</s>", "<|im_end|>", "<|endoftext|>"]
+BRACKETS = ["{}", "[]", "()"]
+ANSWER_PREFIXES = ["The answer is:", "The final answer is ", "The final answer is: ", "The answer is "]
+LATEX_WRAPS = ["boxed{", "text{", "texttt{"]
+FLOAT_DIGITS, LICENSED_DIGITS, LEAST_FLOAT = 8, 16, 1e-9
+SYMBOLIC_HINTS = ["sqrt", "pi", "exp", "log", "ln", "sin", "cos", "tan", "atan", "asin", "acos", "rational", "frac", "/", "i*", "*i", "**", "^"]
+ROUNDING_PHRASES = ["round to", "rounded to", "decimal places", "to the nearest"]
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 LETTERS = "ABCDEFGHIJ"
 # End of fixed values.
 
 
+def let(value: Column, f, *more) -> Column:
+    """``f(value, *more)`` with the value made once: repeated in a chain of conditions it would be made exponentially often."""
+    return F.get(F.transform(F.array(value), lambda x: f(x, *more)), F.lit(0))
+
+
 def last_match(text: Column, pattern: str) -> Column:
     """Group 1 of the last match, or null."""
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
@@ -28,8 +44,42 @@ def boxed_greedy(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, BOXED_GREEDY, 1)), F.lit(""))
 
 
+def boxed_flat(text: Column) -> Column:
+    return last_match(text, BOXED_FLAT)
+
+
+def boxed_deep(text: Column) -> Column:
+    """The last boxed content, two levels of braces in it, as it stands."""
+    return last_match(text, BOXED_DEEP)
+
+
 def final_answer(text: Column) -> Column:
-    return F.trim(last_match(text, FINAL_ANSWER))
+    """After the last "Final Answer:", else after the last "The answer is:", up to the line's end, as it stands."""
+    return F.coalesce(last_match(text, FINAL_ANSWER), last_match(text, THE_ANSWER))
+
+
+def solution(text: Column) -> Column:
+    """The answer in a model's turn: chat prefix and what follows a stop word off, then the box, else the final answer."""
+    chat = F.when(F.contains(text, F.lit(CHAT_ASSISTANT)), F.concat(F.lit(CHAT_ASSISTANT), _after_first(text, CHAT_ASSISTANT))).otherwise(text)
+    out = F.when(F.contains(text, F.lit(CHAT_USER)), chat).when(
+        F.contains(text, F.lit(PLAIN_ASSISTANT)), _strip(F.substring_index(text, PLAIN_ASSISTANT, -1))
+    ).otherwise(text)
+    for word in STOP_WORDS:
+        out = let(out, lambda x, w: F.when(F.contains(x, F.lit(w)), _strip(F.substring_index(x, w, 1))).otherwise(x), word)
+    return let(out, lambda x: F.coalesce(F.nullif(boxed_deep(x), F.lit("")), final_answer(x)))
+
+
+def choice_letter(text: Column) -> Column:
+    """The letter of the first multiple-choice mark, if that is a box; a written one gives null."""
+    return F.nullif(F.regexp_extract(text, CHOICE, 1), F.lit(""))
+
+
+def _after_first(text: Column, mark: str) -> Column:
+    return F.substring(text, F.locate(mark, text) + len(mark), F.length(text))
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -43,10 +93,16 @@ def template(text: Column) -> Column:
 
 
 def normalize_answer(text: Column, drop_blanks: bool = True) -> Column:
-    """Lower case, one bracket of each kind off, no final stop, no commas; blanks dropped or squeezed."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"^[\(\[\{](.*)[\)\]\}]$", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\.+$", ""), ",", "")
-    return F.regexp_replace(t, r"\s+", "") if drop_blanks else squeeze(t)
+    """Lower case, one matching pair of brackets of each kind off, no final stops, no commas; blanks dropped or squeezed."""
+    t = F.lower(_strip(text))
+    for opening, closing in BRACKETS:
+        t = let(t, lambda x, o, c: F.when(_inside(x, o, c), _strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x), opening, closing)
+    t = F.replace(F.rtrim(t, F.lit(".")), F.lit(","), F.lit(""))
+    return F.replace(t, F.lit(" "), F.lit("")) if drop_blanks else squeeze(t)
+
+
+def _inside(t: Column, opening: str, closing: str) -> Column:
+    return (F.length(t) > 1) & F.startswith(t, F.lit(opening)) & F.endswith(t, F.lit(closing))
 
 
 def clean_number(text: Column) -> Column:
@@ -86,14 +142,72 @@ def answers_equal(a: Column, b: Column) -> Column:
     return F.coalesce(normalize_answer(a) == normalize_answer(b), F.lit(False)) | same_number(a, b)
 
 
+def unwrap_latex(text: Column) -> Column:
+    """Dollar signs around, and the inside of a box or text command that ends the answer."""
+    out = let(text, lambda x: F.when(_inside(x, "$", "$"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+
+    def off(x: Column, wrap: str) -> Column:
+        body = F.split_part(F.left(x, F.length(x) - 1), F.lit(wrap), F.lit(2))
+        return F.when(F.contains(x, F.lit(wrap)) & F.endswith(x, F.lit("}")), body).otherwise(x)
+
+    for wrap in LATEX_WRAPS:
+        out = let(out, off, wrap)
+    return out
+
+
+def prediction(sample: Column) -> Column:
+    """The answer of a sample: after its prefix, without wraps, first line, lower case, no stars, no final stop."""
+    out = _strip(F.coalesce(sample, F.lit("")))
+    for prefix in ANSWER_PREFIXES:
+        out = let(out, lambda x, p: F.when(F.contains(x, F.lit(p)), _strip(F.substring_index(x, p, -1))).otherwise(x), prefix)
+    out = F.lower(unwrap_latex(_without_stop(out)))
+    out = F.replace(F.replace(out, F.lit(", "), F.lit(",")), F.lit("**"), F.lit(""))
+    return _without_stop(F.substring_index(out, "\n", 1))
+
+
+def _without_stop(text: Column) -> Column:
+    return let(text, lambda x: F.when(F.endswith(x, F.lit(".")), F.left(x, F.length(x) - 1)).otherwise(x))
+
+
 def fuzzy_equal(a: Column, b: Column) -> Column:
-    """(a) = a, 1.0 = 1, quotes, [x] = x and a final question mark do not matter."""
+    """A cleaned prediction ``a`` against a reference ``b``.
+
+    Equal, (x) = x for one character and nothing else then, equal numbers, quotes, [x] = x, and a
+    final question mark of the prediction do not matter.
+    """
+    return let(a, lambda x: let(b, lambda y: _fuzzy(x, y)))
+
+
+def _fuzzy(a: Column, b: Column) -> Column:
+    single = lambda t: (F.length(t) == 3) & F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
+    quoted = lambda t: F.replace(t, F.lit("'"), F.lit(""))
+    boxed_ = lambda t: F.concat(F.lit("["), t, F.lit("]"))
+    number = lambda t: F.when(F.trim(t).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), F.trim(t).try_cast("double"))
+    rest = F.coalesce(number(a) == number(b), F.lit(False)) | (quoted(a) == quoted(b)) | (boxed_(b) == a) | (boxed_(a) == b) | (F.concat(b, F.lit("?")) == a)
+    out = F.when(a == b, True).when(single(a), F.substring(a, 2, 1) == b).when(single(b), F.substring(b, 2, 1) == a).otherwise(rest)
+    return F.coalesce(out, F.lit(False))
 
-    def plain(t: Column) -> Column:
-        t = F.regexp_replace(F.lower(F.trim(t)), r"['\"]", "")
-        return F.regexp_replace(F.regexp_replace(t, r"^[\(\[](.*)[\)\]]$", "$1"), r"\?$", "")
 
-    return F.coalesce(plain(a) == plain(b), F.lit(False)) | same_number(plain(a), plain(b), 0.0)
+def over_precise(answer: Column, problem: Column) -> Column:
+    """Whether an answer is a decimal of more digits than a problem can ask for.
+
+    Integers, fractions and symbolic forms pass; scientific notation fails if it is next to 0; others
+    may have eight digits, zeros at the end not counted, or sixteen where the problem speaks of rounding.
+    """
+    s = _strip(F.coalesce(answer, F.lit("")))
+    any_of = lambda t, words: F.lower(t).rlike("|".join(rf"\Q{w}\E" for w in words))
+    value = s.try_cast("double")
+    tail = F.rtrim(F.substring(s, F.locate(".", s) + 1, F.length(s)), F.lit("0"))
+    digits = F.length(F.regexp_extract(tail, r"^(\d*)", 1))
+    most = F.when(any_of(F.coalesce(problem, F.lit("")), ROUNDING_PHRASES), F.lit(LICENSED_DIGITS)).otherwise(F.lit(FLOAT_DIGITS))
+    exempt = s.rlike(r"^[+-]?\d+(\s*/\s*[+-]?\d+)?$") | any_of(s, SYMBOLIC_HINTS) | ~F.contains(s, F.lit(".")) | value.isNull()
+    return F.when(exempt, False).when(s.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d+$"), (value != 0) & (F.abs(value) < LEAST_FLOAT)).otherwise(digits > most)
+
+
+def string_constant(source: Column, name: str) -> Column:
+    """The text that a line of a program's top level gives to ``name``; the first such line counts.  Continued lines and escapes are not read."""
+    pattern = rf"(?m)^{name}(?:\s*:\s*\w+)?\s*=\s*(?:\"([^\"\\\n]*)\"|'([^'\\\n]*)')\s*(?:#.*)?$"
+    return _strip(F.regexp_extract(F.try_element_at(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.lit(1)), r"[\"'](.*)[\"']", 1))
 
 
 def first_letter(text: Column) -> Column:
@@ -103,8 +217,13 @@ def first_letter(text: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """The parsable numbers between commas, semicolons and blanks."""
-    return F.filter(F.transform(F.split(text, r"[,;\s]+"), parse_number), lambda x: x.isNotNull())
+    """The parsable integers, decimals and fractions between commas, semicolons and blanks; brackets do not matter."""
+
+    def value(t: Column) -> Column:
+        top, low = (F.regexp_extract(t, r"^([+-]?\d+)/(\d+)$", k).try_cast("double") for k in (1, 2))
+        return F.coalesce(F.when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double")), F.try_divide(top, low))
+
+    return F.filter(F.transform(F.split(F.translate(text, "{}[]", ""), r"[,;\s]+"), value), lambda x: x.isNotNull())
 
 
 def shorten(text: Column, limit: int = 140) -> Column:
@@ -127,7 +246,14 @@ def tag(text: Column, name: str) -> Column:
 
 
 def behaviour_signature(problem: Column, answer: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", squeeze(problem), squeeze(answer)), 256)
+    """Digest of problem and answer; null if either is, as what failed equals nothing."""
+    return F.sha2(F.concat(squeeze(problem), F.lit("\x1f"), squeeze(answer)), 256)
+
+
+def instance_signature(problem: Column, answer: Column) -> Column:
+    """Digest of problem and answer; a null differs from an empty text."""
+    side = lambda c: F.coalesce(c, F.lit("\x00"))
+    return F.sha2(F.concat(side(problem), F.lit("\x1f"), side(answer)), 256)
 
 
 def lint_reasons(problem: Column, answer: Column) -> Column:

@@ -399,11 +399,3 @@ def archive_replay(spark, d):
         (F.col("seq") % 17 != 0).alias("valid"), F.round("u", 1).cast("string").alias("behaviour"), F.lit(None).cast("string").alias("template"),
     )
     return A.replay(c)
-
-
-@query("t7_parent_pick")
-def parent_pick(spark, d):
-    """Epsilon-greedy parents: reproducible draws by hash, else the best score."""
-    c = A.champion_aggregate(scored(spark, d))
-    draw = scoring.unit_hash(F.col("h_bin"), F.col("div_bin"), seed=3)
-    return c.select("h_bin", "div_bin", "program_id", (draw < 0.2).alias("explore"), scoring.operator_choice(draw, 0.3, 0.4).alias("op"))

@@ -44,15 +44,18 @@ def letter(spark, d):
     return _answers(spark, d).select("conv_id", "turn", X.first_letter(F.col("a")).alias("got"))
 
 
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(a)), '^[\(\[\{](.*)[\)\]\}]$', '\1'), '\.+$', ''), ',', '', 'g')"
+# One step for each kind of brackets, then final stops and commas.
+_OFF = "CASE WHEN length({x}) > 1 AND {x} LIKE '{o}%' AND {x} LIKE '%{c}' THEN trim(substr({x}, 2, length({x}) - 2)) ELSE {x} END"
+_STEPS = f"{_ANS}, b1 AS (SELECT *, {_OFF.format(x='lower(trim(a))', o='{', c='}')} AS x1 FROM ans), b2 AS (SELECT *, {_OFF.format(x='x1', o='[', c=']')} AS x2 FROM b1), b3 AS (SELECT *, {_OFF.format(x='x2', o='(', c=')')} AS x3 FROM b2)"
+_NORM = "replace(rtrim(x3, '.'), ',', '')"
 
 
-@query("g9_normalize_answer", rf"WITH {_ANS} SELECT conv_id, turn, regexp_replace({_NORM}, '\s+', '', 'g') AS got FROM ans")
+@query("g9_normalize_answer", f"WITH {_STEPS} SELECT conv_id, turn, replace({_NORM}, ' ', '') AS got FROM b3")
 def normalize(spark, d):
     return _answers(spark, d).select("conv_id", "turn", X.normalize_answer(F.col("a")).alias("got"))
 
 
-@query("g10_normalize_squeeze", rf"WITH {_ANS} SELECT conv_id, turn, trim(regexp_replace({_NORM}, '\s+', ' ', 'g')) AS got FROM ans")
+@query("g10_normalize_squeeze", rf"WITH {_STEPS} SELECT conv_id, turn, trim(regexp_replace({_NORM}, '\s+', ' ', 'g')) AS got FROM b3")
 def normalize_squeeze(spark, d):
     return _answers(spark, d).select("conv_id", "turn", X.normalize_answer(F.col("a"), drop_blanks=False).alias("got"))
 
@@ -119,16 +122,17 @@ def template_groups(spark, d):
     return t.groupBy("s").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).drop("s")
 
 
-@query("d7_behaviour_signature", r"SELECT min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), lang")
+@query("d7_behaviour_signature", r"SELECT min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), trim(regexp_replace(lang, '[ \t\n\r\f\v]+', ' ', 'g'))")
 def behaviour(spark, d):
-    t = table(spark, d, "documents").select("doc_id", X.behaviour_signature(F.col("text"), F.col("lang")).alias("s"))
+    """Groups of equal behaviour; rows without a signature equal nothing."""
+    t = table(spark, d, "documents").select("doc_id", X.behaviour_signature(F.col("text"), F.col("lang")).alias("s")).where("s is not null")
     return t.groupBy("s").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).drop("s")
 
 
 @query("d9_instance_dedup", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def instance_dedup(spark, d):
     """First of each (text, language), by digest: a partially aggregated minimum, no window over a hot text."""
-    s = F.sha2(F.concat_ws("\x1f", "text", "lang"), 256)
+    s = X.instance_signature(F.col("text"), F.col("lang"))
     return table(spark, d, "documents").groupBy(s.alias("s")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
@@ -186,9 +190,9 @@ def prompt(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Q: "), F.left("text", F.lit(40)), F.lit("\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
-@query("g14_fuzzy_match", "SELECT conv_id, turn, conv_id % 3 <> 2 AS same FROM conversations")
+@query("g14_fuzzy_match", "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN length(text) < 10 WHEN 1 THEN true ELSE false END AS same FROM conversations")
 def fuzzy(spark, d):
-    """(n) against n, n.0 against n, and n against n + 1."""
+    """(n) against n, equal only for one character; n.0 against n; and n against n + 1."""
     t = table(spark, d, "conversations")
     n = F.length("text").cast("string")
     a = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("("), n, F.lit(")"))).when(F.col("conv_id") % 3 == 1, F.concat(n, F.lit(".0"))).otherwise((F.length("text") + 1).cast("string"))
@@ -229,8 +233,8 @@ def benchmark_registry(spark, d):
     return b.unionByName(p)
 
 
-@query("t5_seeded_subsample")
+@query("t5_seeded_subsample", "SELECT doc_id, lang, k FROM (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS INT) AS k FROM documents) WHERE k <= 20")
 def subsample(spark, d):
     """Twenty items per benchmark source, the same in every run; the order is a hash of seed and item."""
-    w = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id")
+    w = W.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))), "doc_id")
     return table(spark, d, "documents").select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where("k <= 20")
