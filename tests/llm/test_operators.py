@@ -2,7 +2,6 @@
 
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -189,14 +188,13 @@ def test_tokenizer_equals_library():
 
     path = packing.default_tokenizer()
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         own = packing.ByteTokenizer(f.read())
     rng = random.Random(4)
     bits = ["a", "b", "'s", " ", "  ", "\n", "\t", ".", ",", "1", "é", "\xa0", "'", "<|endoftext|>", "漢", "\x1c", "!?", "½", " .", "\r\n", "hello", " World"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
-    assert own(texts) == want
+    assert [own(t) for t in texts] == want
 
 
 def test_packing(spark):
@@ -347,4 +345,4 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) <= set(range(60)) and out.length.max() <= 2048
-    assert zlib.crc32(b"") == 0 and out.groupby("sequence_id").length.sum().max() <= 2048
+    assert out.groupby("sequence_id").length.sum().max() <= 2048
