@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Marks of explicit steps, and what ends a sentence or paragraph.
 STEP_MARK = re.compile(r"(?im)^\s*(?:step\s*\d+|final)\s*:")
@@ -47,7 +48,7 @@ def span_max(text: str | None, pieces: list[str], entropies: list[float | None])
     return float(max(means)) if means else float(sum(h for *_, h in tokens) / len(tokens))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _span_max(text: pd.Series, pieces: pd.Series, entropies: pd.Series) -> pd.Series:
     return pd.Series([span_max(t, list(p), list(h)) if p is not None and h is not None else None for t, p, h in zip(text, pieces, entropies, strict=True)], dtype="float64")
 

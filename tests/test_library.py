@@ -149,3 +149,13 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["h_bin", "div_bin", "program_id", "seq", "rq"]
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=False)
+    assert said.returncode == 0, said.stderr[-2000:]
