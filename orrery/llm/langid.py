@@ -8,7 +8,7 @@ temperature fitted on a part of the sample kept aside makes the scores probabili
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,23 @@ class Model:
     temperature: float
 
 
+class Rows(Sequence):
+    """(buckets, values, class) of sampled texts, held as buckets and term frequencies of 32 bits."""
+
+    def __init__(self, held: list, scale: np.ndarray):
+        self.held, self.scale = held, scale
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return Rows(self.held[i], self.scale)
+        ids, tf, y = self.held[i]
+        ids = ids.astype(np.int64)
+        return ids, tf.astype(np.float64) * self.scale[ids], y
+
+
 class Grams:
     """Hashed n-grams of many texts at once."""
 
@@ -145,12 +162,10 @@ def fit(train: DataFrame, part_rows: int = PART_ROWS) -> Model:
         .sort_values(["lang", "ids", "tf"])
     )
     rng = np.random.default_rng(0)
-    order = rng.permutation(len(sampled))
-    rows, number = [], {name: i for i, name in enumerate(languages)}
-    for i in order:
-        r = sampled.iloc[i]
-        ids = np.frombuffer(r.ids, "<u4").astype(np.int64)
-        rows.append((ids, np.frombuffer(r.tf, "<f4").astype(np.float64) * SCALE * idf[ids], number[r.lang]))
+    number = {name: i for i, name in enumerate(languages)}
+    # Views of the bytes that came; each text is widened when it is read.
+    seen = [(np.frombuffer(ids, "<u4"), np.frombuffer(tf, "<f4"), number[lang]) for lang, ids, tf in zip(sampled.lang, sampled.ids, sampled.tf, strict=True)]
+    rows = Rows([seen[i] for i in rng.permutation(len(seen))], SCALE * idf)
     held = max(len(rows) // 5, 1)
     fitted, kept = (rows[held:], rows[:held]) if len(rows) >= 10 else (rows, rows)
     weights, bias = _leader(fitted, len(languages), rng)
@@ -163,17 +178,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _leader(rows: list, classes: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _leader(rows: Sequence, classes: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Follow the regularised leader, one document at a time."""
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
 
     def solve(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    rows = [(np.append(ids, BUCKETS), np.append(x, 1.0), y) for ids, x, y in rows]  # the last column is the bias
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             ids, x, y = rows[i]
+            ids, x = np.append(ids, BUCKETS), np.append(x, 1.0)  # the last column is the bias
             zi, ni = z[ids], n[ids]
             w = solve(zi, ni)
             p = _softmax(x @ w)
@@ -187,7 +202,7 @@ def _leader(rows: list, classes: int, rng: np.random.Generator) -> tuple[np.ndar
     return z[:BUCKETS], z[BUCKETS]
 
 
-def _temperature(rows: list, weights: np.ndarray, bias: np.ndarray) -> float:
+def _temperature(rows: Sequence, weights: np.ndarray, bias: np.ndarray) -> float:
     """The temperature of least log loss, by golden-section search over its logarithm."""
     z = np.array([x @ weights[ids] + bias for ids, x, _ in rows])
     y = np.array([r[2] for r in rows])
