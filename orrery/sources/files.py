@@ -108,3 +108,33 @@ def grid_csv(champions: DataFrame, h_bins: int, value: str = "rq") -> DataFrame:
     return (
         champions.groupBy("div_bin").pivot("h_bin", list(range(h_bins))).agg(F.round(F.max(value), 4)).withColumnsRenamed({str(h): f"h{h}" for h in range(h_bins)})
     )
+
+
+#: The fields of a program's document.
+PROGRAM = (
+    "source_code string, program_id string, parent_id string, generation int, fitness double, h_score double, p_hat double, rq_score double, "
+    "niche_h int, niche_div int, root_seed_id string, last_reeval_step long, metadata map<string,string>"
+)
+
+
+def save_archive(champions: DataFrame, reservoir: DataFrame, path: str) -> None:
+    """Champions and the cells' further candidates, each a table in folders by cell."""
+    for name, rows in (("champions", champions), ("reservoir", reservoir)):
+        rows.write.mode("overwrite").partitionBy("h_bin", "div_bin").parquet(f"{path}/{name}")
+
+
+def load_archive(spark: SparkSession, path: str, reservoir_size: int) -> tuple[DataFrame, DataFrame]:
+    """(champions, reservoir) of a saved archive; of each cell's reservoir the best by ``rq``, then ``seq``, are kept."""
+    best = W.partitionBy("h_bin", "div_bin").orderBy(F.desc("rq"), "seq")
+    kept = spark.read.parquet(f"{path}/reservoir").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= reservoir_size)
+    return spark.read.parquet(f"{path}/champions"), kept.drop("_k")
+
+
+def save_programs(programs: DataFrame, path: str) -> None:
+    """A JSON object per program, nulls written."""
+    programs.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_programs(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """Programs of JSON lines, or of files that hold one document on many lines; malformed ones fail the query."""
+    return spark.read.schema(PROGRAM).option("mode", "FAILFAST").option("multiLine", one_a_file).json(path)
