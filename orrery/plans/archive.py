@@ -278,13 +278,14 @@ def cell_sets(spark, d):
 
 @query(
     "j3_steps_and_events",
-    f"""WITH {STEPS}, e AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS step, count(*) AS events FROM cand GROUP BY 1), s AS (SELECT step, count(*) AS cells FROM steps WHERE step % 2 = 0 GROUP BY step)
-SELECT step, events, cells FROM e FULL JOIN s USING (step)""",
+    f"""WITH {STEPS}, e AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS step, count(*) AS events FROM cand GROUP BY 1), s AS (SELECT step, count(*) AS cells FROM steps GROUP BY step)
+SELECT step, events, cells, cells IS NULL AS in_flight FROM e FULL JOIN s USING (step)""",
 )
 def steps_and_events(spark, d):
+    """All steps of either side; a step with events and no cells yet is in flight."""
     e = candidates(spark, d).groupBy(F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("step")).agg(F.count(F.lit(1)).alias("events"))
-    s = cells_by_step(spark, d).where("step % 2 = 0").groupBy("step").agg(F.count(F.lit(1)).alias("cells"))
-    return e.join(s, "step", "full").select("step", "events", "cells")
+    s = cells_by_step(spark, d).groupBy("step").agg(F.count(F.lit(1)).alias("cells"))
+    return e.join(s, "step", "full").select("step", "events", "cells", F.col("cells").isNull().alias("in_flight"))
 
 
 _SWEEP = f"""{SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY seq) AS sweep FROM scored),

@@ -16,24 +16,24 @@ def _batch(spark, d):
     return rollouts(spark, d).select(F.col("uid").alias("batch_id"), F.col("idx").alias("item_id"), F.floor(F.col("score") / 100).cast("long").alias("seqlen"))
 
 
-@query("d3_chunk", f"WITH {_L} SELECT batch_id, pos, CAST(floor(pos * 2 / n) AS INT) AS chunk FROM l WHERE n % 2 = 0")
+@query("d3_chunk", f"WITH {_L} SELECT batch_id, pos, CASE WHEN n % 2 = 0 THEN CAST(floor(pos * 2 / n) AS INT) END AS chunk FROM l")
 def chunk(spark, d):
+    """Halves of each batch; batches that have no equal halves have no chunks."""
+    n = F.count(F.lit(1)).over(W.partitionBy("batch_id"))
     out = P.chunk(_batch(spark, d), 2, ["item_id"], ["batch_id"])
-    even = out.groupBy("batch_id").count().where("count % 2 = 0").select("batch_id")
-    return out.join(even, "batch_id", "left_semi").select("batch_id", "pos", "chunk")
+    return out.select("batch_id", "pos", F.when(n % 2 == 0, F.col("chunk")).alias("chunk"))
 
 
-@query("d3_split", f"WITH {_L} SELECT batch_id, pos, CAST(floor(pos * (n // 2) / n) AS INT) AS chunk FROM l WHERE n >= 2")
+@query("d3_split", f"WITH {_L} SELECT batch_id, pos, CASE WHEN n >= 2 THEN CAST(floor(pos * (n // 2) / n) AS INT) END AS chunk FROM l")
 def split(spark, d):
+    """Chunks of about two rows; a batch of fewer has none."""
+    n = F.count(F.lit(1)).over(W.partitionBy("batch_id"))
     out = P.split(_batch(spark, d), 2, ["item_id"], ["batch_id"])
-    some = out.groupBy("batch_id").count().where("count >= 2").select("batch_id")
-    return out.join(some, "batch_id", "left_semi").select("batch_id", "pos", "chunk")
+    return out.select("batch_id", "pos", F.when(n >= 2, F.col("chunk")).alias("chunk"))
 
 
 def _pos(spark, d):
-    b = P.positions(_batch(spark, d), ["item_id"], ["batch_id"])
-    n = b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    return b.join(n, "batch_id")
+    return P.positions(_batch(spark, d), ["item_id"], ["batch_id"]).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("batch_id")))
 
 
 @query("d2_repeat_interleave", f"WITH {_L} SELECT batch_id, pos, CAST(pos * 3 + c AS INT) AS new_pos FROM l, (SELECT unnest(range(3)) AS c)")
