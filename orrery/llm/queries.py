@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, near_vectors, ngram_join, packing, topk, toxicity, url_filter, warc
+from . import fill_middle, langid, line_dedup, mixing, near_vectors, ngram_join, packing, periodic, pieces, topk, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ngram_jaccard": ngram_join.query,
         "op9_line_dedup": line_dedup.query,
         "op10_warc": warc.query,
+        "op11_sentencepiece": pieces.query,
+        "op12_fill_middle": fill_middle.query,
+        "op13_periodic_runs": periodic.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
