@@ -38,7 +38,8 @@ def unit_ends(texts: DataFrame, units: str = LINES) -> DataFrame:
     Rows that repeat a key must repeat its text; they count once.  Texts without units give no rows.
     """
     rows = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(units), F.lit(0))).alias("at", "unit"))
-    once = rows.groupBy("key", "at").agg(F.max(F.length("unit")).alias("chars"))
+    rows = rows.select("key", "at", F.length("unit").alias("chars")).repartition("key")  # once, for both steps
+    once = rows.groupBy("key", "at").agg(F.max("chars").alias("chars"))
     end = F.sum("chars").over(W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
     return once.select("key", (F.col("at") + 1).alias("ordinal"), end.alias("end"))
 
@@ -73,7 +74,7 @@ def transform(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         body.alias("text"),
         # The text's digest keeps apart rows that share a key.
-        F.sha2(F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(":"), body), 256).alias("key"),
+        F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))).alias("key"),
         F.regexp_count(body, F.lit(units)).cast("long").alias("n"),
         F.when(plain, "plain").when(h4 % 100 < spm_percent, "spm").otherwise("psm").alias("form"),
         h1.alias("h1"),
@@ -86,7 +87,9 @@ def transform(
     # Offsets grow with the ordinals, so the least is the prefix's end and the greatest the middle's.
     found = requests.join(ends, ["key", "ordinal"], "left").select("key", F.coalesce("end", F.lit(0)).alias("end"))
     offsets = found.groupBy("key").agg(F.min("end").alias("a"), F.max("end").alias("b"))
-    joined = base.join(offsets, "key", "left")
+    # Texts travel once, in their rows.
+    whole = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
+    joined = base.drop("text").join(offsets, "key", "left").withColumn("text", whole)
     a, b = F.col("a").cast("int"), F.col("b").cast("int")
     before, rest = F.substring("text", F.lit(1), a), F.substring("text", b + 1, F.length("text") - b)
     middle = F.substring("text", a + 1, b - a)
