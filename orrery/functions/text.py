@@ -204,12 +204,6 @@ def over_precise(answer: Column, problem: Column) -> Column:
     return F.when(exempt, False).when(s.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d+$"), (value != 0) & (F.abs(value) < LEAST_FLOAT)).otherwise(digits > most)
 
 
-def string_constant(source: Column, name: str) -> Column:
-    """The text that a line of a program's top level gives to ``name``; the first such line counts.  Continued lines and escapes are not read."""
-    pattern = rf"(?m)^{name}(?:\s*:\s*\w+)?\s*=\s*(?:\"([^\"\\\n]*)\"|'([^'\\\n]*)')\s*(?:#.*)?$"
-    return _strip(F.regexp_extract(F.try_element_at(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.lit(1)), r"[\"'](.*)[\"']", 1))
-
-
 def first_letter(text: Column) -> Column:
     """The first of A to J that occurs anywhere."""
     letters = F.array(*[F.lit(c) for c in LETTERS])

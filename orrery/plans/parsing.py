@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import source, validity
 from ..functions import text as X
-from ..functions import validity
 from .registry import query
 from .views import table
 
@@ -99,7 +99,7 @@ _PROGRAMS = ["import x\nKIND = ' a<n> '  # k\nKIND = 'b'\n", "KIND: str = \"b<n>
 
 @query("g28_string_constant", f"{_N} SELECT conv_id, turn, " + _case(["'a' || n", "'b' || n", "NULL", "NULL"]) + " AS got FROM n")
 def constant(spark, d):
-    return _shapes(spark, d, _PROGRAMS).select("conv_id", "turn", X.string_constant(F.col("s"), "KIND").alias("got"))
+    return _shapes(spark, d, _PROGRAMS).select("conv_id", "turn", source.constant(F.col("s"), "KIND").alias("got"))
 
 
 @query("g29_concept_fallback", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'meta' END, CASE WHEN event_id % 3 = 1 THEN 'declared' END, 'of ' || event_type) AS got FROM events")
