@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import symbolic
+
 # Patterns, possessive where a long text would exhaust the stack of the regex engine.
 BOXED = r"\\boxed\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
 BOXED_FLAT = r"\\boxed\{([^{}]*)\}"
@@ -23,6 +25,7 @@ SYMBOLIC_HINTS = ["sqrt", "pi", "exp", "log", "ln", "sin", "cos", "tan", "atan",
 ROUNDING_PHRASES = ["round to", "rounded to", "decimal places", "to the nearest"]
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 LETTERS = "ABCDEFGHIJ"
+ANSWER_TOLERANCE = 1e-4
 # End of fixed values.
 
 
@@ -127,7 +130,7 @@ def rounding_recovered(prediction: Column, reference: Column) -> Column:
     return F.coalesce((d > 0) & (F.abs(p - r) <= F.lit(0.5) * F.pow(F.lit(10.0), -d)), F.lit(False))
 
 
-def same_number(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
+def same_number(a: Column, b: Column, tolerance: float = ANSWER_TOLERANCE) -> Column:
     """Numeric equality; simple fractions are evaluated."""
 
     def value(t: Column) -> Column:
@@ -138,8 +141,9 @@ def same_number(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
 
 
 def answers_equal(a: Column, b: Column) -> Column:
-    """Tier 1: normalized text; tier 2: numbers within a tolerance.  Symbolic equality is not attempted."""
-    return F.coalesce(normalize_answer(a) == normalize_answer(b), F.lit(False)) | same_number(a, b)
+    """Tier 1: normalized text; tier 2: numbers within a tolerance; tier 3: the same expression, set or interval, numbers within the tolerance."""
+    plain = F.coalesce(normalize_answer(a) == normalize_answer(b), F.lit(False)) | same_number(a, b)
+    return plain | symbolic.same(F.when(~plain, a), b, ANSWER_TOLERANCE)
 
 
 def unwrap_latex(text: Column) -> Column:

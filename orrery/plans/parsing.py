@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import source, validity
+from ..functions import source, symbolic, validity
 from ..functions import text as X
 from .registry import query
 from .views import table
@@ -219,3 +219,30 @@ def few_shot(spark, d):
     t = t.select("conv_id", "turn", F.explode(last(F.col("a"))).alias("x"), last(F.col("b")).alias("b"))
     t = t.select("conv_id", "turn", "x", F.explode("b").alias("y")).where("x.k = y.k")
     return t.select("conv_id", "turn", F.col("x.k").cast("int").alias("shot"), F.col("x.v").alias("parent"), F.col("y.v").alias("child"))
+
+
+#: (reply, reference answer, SQL of whether they are the same).
+_GRADED = [
+    (r"so \boxed{\frac{<n>}{2}}.", "<n>/2", "true"),
+    (r"\boxed{\sqrt{<n>} \cdot \sqrt{<n>}}", "<n>", "true"),
+    (r"\boxed{(x+<n>)^2}", "x^2+2*<n>x+<n>^2", "true"),
+    (r"\boxed{[0,<n>)}", "[0,<n>]", "false"),
+    (r"\boxed{\{-1,<n>\}}", r"\{<n>, -1\}", "true"),
+    (r"\boxed{<n>}", "<k>", "n = k"),
+    ("no box <n>", "<n>", "false"),
+    (r"\boxed{\dfrac{<n>}{<k>}}", "<k>/<n>", "n = k"),
+    (r"\boxed{\left(-\infty, <n>\right] \cup [<n>.5, <n>.75)}", r"[<n>\frac{1}{2},<n>+\frac34)\cup(-\infty,<n>]", "true"),
+    (r"\boxed{<n>^2 - <k>^2}", "(<n>-<k>)(<n>+<k>)", "true"),
+    (r"\boxed{<n>\pi}", "<n>*3.14159", "false"),
+    (r"\boxed{x = <n>\%}", "<k>", "n = k"),
+    (r"\boxed{\sin^2(<n>) + \cos^2(<n>)}", "1", "true"),
+    (r"\boxed{\frac{<n>}{}}", "<n>", "false"),
+]
+
+
+@query("g13_symbolic_equality", f"{_N} SELECT conv_id, turn, " + _case([w for _, _, w in _GRADED]) + " AS correct FROM n")
+def symbolic_equality(spark, d):
+    """Whether the boxed answer of a reply and the reference are the same number, expression, interval or set."""
+    t = _shapes(spark, d, [f"{reply}|{truth}" for reply, truth, _ in _GRADED])
+    reply, truth = F.split_part("s", F.lit("|"), F.lit(1)), F.split_part("s", F.lit("|"), F.lit(2))
+    return t.select("conv_id", "turn", symbolic.same(X.boxed_greedy(reply), truth).alias("correct"))

@@ -199,12 +199,17 @@ def fuzzy(spark, d):
     return t.select("conv_id", "turn", X.fuzzy_equal(a, n).alias("same"))
 
 
-@query("g12_answer_equality", "SELECT conv_id, turn, conv_id % 2 = 0 AS same FROM conversations")
+@query("g12_answer_equality", "SELECT conv_id, turn, conv_id % 5 IN (0, 2, 4) AS same FROM conversations")
 def equality(spark, d):
+    """A quotient, another number, a root, the number after, and a product, against the text's length."""
     t = table(spark, d, "conversations")
     n = F.length("text")
-    a = F.when(F.col("conv_id") % 2 == 0, F.concat((n * 2).cast("string"), F.lit("/2"))).otherwise(F.concat(n.cast("string"), F.lit(".01")))
-    return t.select("conv_id", "turn", X.answers_equal(a, n.cast("string")).alias("same"))
+    s = n.cast("string")
+    a = F.element_at(
+        F.array(F.concat((n * 2).cast("string"), F.lit("/2")), F.concat(s, F.lit(".01")), F.format_string("\\sqrt{%s^2}", s), F.concat((n + 1).cast("string"), F.lit("!/"), F.lit("0!")), F.format_string("2(%s)/2", s)),
+        (F.col("conv_id") % 5 + 1).cast("int"),
+    )
+    return t.select("conv_id", "turn", X.answers_equal(a, s).alias("same"))
 
 
 @query(
