@@ -121,3 +121,29 @@ def drop_last(df: DataFrame, size: int, order: list[str], by: list[str]) -> Data
     n = F.count(F.lit(1)).over(W.partitionBy(*by))
     out = positions(df, order, by).withColumns({"batch": F.floor(F.col("pos") / size).cast("int"), "_whole": F.floor(n / size)})
     return out.where(F.col("batch") < F.col("_whole")).drop("_whole")
+
+
+def balance_ranks(items: DataFrame, ranks: int, group: str = "batch_id") -> DataFrame:
+    """(group, item_id, seqlen, part, pos, new_pos): each batch dealt to ``ranks`` parts of equal count and nearly equal length.
+
+    ``pos`` is the place by item_id, ``new_pos`` the place once each part's items lie together: the
+    permutation and, read the other way, its inverse.  A batch is one task; one whose count ``ranks``
+    does not divide ends the query with an error.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id").reset_index(drop=True)
+        part, new = pd.Series(0, index=pdf.index, dtype="int32"), pd.Series(0, index=pdf.index, dtype="int64")
+        at = 0
+        for p, rows in enumerate(largest_differencing(pdf.seqlen.tolist(), ranks, equal_size=True)):
+            part[rows], new[rows] = p, range(at, at + len(rows))
+            at += len(rows)
+        return pdf.assign(part=part, pos=range(len(pdf)), new_pos=new)[[group, "item_id", "seqlen", "part", "pos", "new_pos"]]
+
+    kind = items.schema[group].dataType.simpleString()
+    return items.groupBy(group).applyInPandas(run, f"{group} {kind}, item_id long, seqlen long, part int, pos long, new_pos long")
+
+
+def restored(balanced_rows: DataFrame, results: DataFrame, group: str = "batch_id") -> DataFrame:
+    """``results`` of rows in their new places, (group, new_pos, ...), with ``item_id`` and ``pos`` of the places they came from."""
+    return results.join(balanced_rows.select(group, "new_pos", "item_id", "pos"), [group, "new_pos"])

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import archive, batches, evaluation, lineage, parsing, programs, rl, source, texts  # noqa: F401  registers
+    from . import archive, batches, evaluation, generated, lineage, living, parsing, programs, rl, source, texts  # noqa: F401  registers
 
 
 def queries() -> dict[str, Query]:

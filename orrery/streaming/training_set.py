@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.files import save_partitioned
 
 
-def _committed(spark: SparkSession, path: str) -> list[int]:
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the folders ``version=N`` whose write ended."""
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -33,7 +33,7 @@ def swap_into(path: str) -> Callable[[DataFrame, int], None]:
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version, null before the first."""
-    versions = _committed(spark, path)
+    versions = committed_versions(spark, path)
     return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
 
 
