@@ -2,7 +2,7 @@
 
 Scratch tables cut lineage.  They are written to the shared folder named by
 ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests,
-notebooks) a folder of our own is made and put into the session's settings.
+notebooks) a folder of our own is made, one for each application.
 """
 
 from __future__ import annotations
@@ -21,14 +21,20 @@ SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders made for applications that name none.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_FOLDERS:
+            _OWN_FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
+        found = _OWN_FOLDERS[app]
     return found.rstrip("/")
 
 
@@ -127,6 +133,21 @@ def added(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *more])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def comparable(df: DataFrame, column: str) -> Column:
+    """A form of the column that can be hashed and ordered: itself, or its JSON text if it holds a map."""
+
+    def holds_map(t: T.DataType) -> bool:
+        inner = [f.dataType for f in t.fields] if isinstance(t, T.StructType) else [t.elementType] if isinstance(t, T.ArrayType) else []
+        return isinstance(t, T.MapType) or any(map(holds_map, inner))
+
+    return F.to_json(F.struct(column)) if holds_map(df.schema[column].dataType) else F.col(column)
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, tables)
 

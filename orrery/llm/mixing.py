@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage
+from .common import SPACE, comparable, stage
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (1, 2, 3)
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 7, weights=WEIGHTS, max_repea
     bits = "length(bin(size))"
     bucket = F.expr(f"CASE WHEN size > 0 THEN CAST(4 * {bits} + shiftright(shiftleft(size, 3), {bits}) AS INT) ELSE 0 END")
     part = _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS
-    rows = rows.withColumns({"_bucket": bucket, "_salt": part.cast("int"), "_tie": F.xxhash64("row")})
+    rows = rows.withColumns({"_bucket": bucket, "_salt": part.cast("int"), "_tie": F.xxhash64(comparable(rows, "row"))})
     parts = stage(
         rows.groupBy("source", "_bucket", "_salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-parts"
     )

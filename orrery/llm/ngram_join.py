@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_keys, connected_components, discard, stage
+from .common import by_keys, comparable, connected_components, discard, stage
 
 #: Hits in short lists that a candidate needs.
 SHORT_HITS = 2
@@ -470,7 +470,7 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     kept = by_keys(rows, drop, "key", "left_anti")
     again = repeated.join(several, "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("key")).unionAll(keys.select("key"))
     once = by_keys(kept, again, "key", "left_anti").select("row")
-    more = by_keys(kept, again, "key").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    more = by_keys(kept, again, "key").groupBy("key").agg(F.min_by("row", comparable(kept, "row")).alias("row")).select("row")
     return once.unionAll(more).select("row.*")
 
 

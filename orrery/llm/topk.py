@@ -12,10 +12,11 @@ last ranking merges them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,12 +71,37 @@ def search_block(q: np.ndarray, q_to: np.ndarray, c: np.ndarray, c_to: np.ndarra
     return out
 
 
+def search_large(q: np.ndarray, q_to: np.ndarray, c: np.ndarray, c_to: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """As :func:`search_block`, where products are too large for doubles: what their rounding leaves in doubt is multiplied as integers."""
+    out = []
+    c_size, c_square = np.abs(c), (c * c).sum(axis=1)
+    for i in range(len(q)):
+        low = np.abs(q_to[i] - c_to).max(axis=1, initial=0.0)
+        slack = 1e-6 * (1.0 + q_to[i].max(initial=0.0) + c_to.max(initial=0.0))
+        low = np.maximum(low - slack, 0.0)
+        square = c_square + q[i] @ q[i]
+        bound = (square - low * low) / 2 + 1e-9 * square
+        about = c @ q[i]
+        doubt = 1e-12 * (c_size @ np.abs(q[i]))
+        reached = np.partition(about - doubt, len(c) - k)[len(c) - k] if len(c) > k else -np.inf
+        live = np.flatnonzero((bound >= reached) & (about + doubt >= reached))
+        ints = [int(x) for x in q[i]]
+        exact = [(sum(x * int(y) for x, y in zip(ints, c[at], strict=True)), int(at)) for at in live]
+        out.append([(at, s) for s, at in sorted(exact, key=lambda e: (-e[0], e[1]))[:k]])
+    return out
+
+
+#: Scores are ranked as decimals of this many digits.
+DIGITS = 38
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of integer vectors (vec_id long, v array<long>).
+    """(query_id, rank, vec_id, score) of integer vectors (vec_id long, v array of integers, as long or double).
 
     Score is the inner product; ties go to the smaller vec_id; a query's own vec_id is left out.
     Rows without vec_id take no part; vectors of different lengths are not compared; rows of one
-    vec_id with equal vectors count once.  Fewer candidates than k: all of them.
+    vec_id with equal vectors count once.  Fewer candidates than k: all of them.  Scores are exact
+    and ranked to 38 digits; one that no long holds is given as the nearest long.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull())
@@ -117,14 +143,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
+        most = 10**DIGITS - 1
         if left.num_rows and right.num_rows:
             ids = left.column("ids").to_pylist()
             order = sorted(range(len(ids)), key=lambda i: ids[i][0])
             ids = [ids[i] for i in order]
             c, c_to = matrix(left.column("vec"))[order], matrix(left.column("to"))[order]
             q, q_to = matrix(right.column("vec")), matrix(right.column("to"))
-            if (np.abs(c).max(initial=0) * np.abs(q).max(initial=0)) * c.shape[1] >= 2**53:
-                raise ValueError("integer components are too large for exact scores in double precision")
+            small = (np.abs(c).max(initial=0) * np.abs(q).max(initial=0)) * c.shape[1] < 2**53
             names = right.column("vec_id").to_pylist()
             _, m, m_ids = shared.value.get(c.shape[1], (None, np.zeros((0, c.shape[1])), np.zeros(0)))
             floor = np.full(len(q), -np.inf)
@@ -132,24 +158,32 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                 s = q @ m.T
                 s[np.array(names)[:, None] == m_ids[None, :]] = -np.inf
                 floor = np.partition(s, len(m) - k, axis=1)[:, len(m) - k]
-            for name, found in zip(names, search_block(q, q_to, c, c_to, floor, k + 1), strict=True):
+            blocks = search_block(q, q_to, c, c_to, floor, k + 1) if small else search_large(q, q_to, c, c_to, k + 1)
+            for name, found in zip(names, blocks, strict=True):
                 best = sorted((-s, i) for at, s in found for i in ids[int(at)] if i != name)[:k]
                 out[0].extend([name] * len(best))
                 out[1].extend(i for _, i in best)
-                out[2].extend(int(-s) for s, _ in best)
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                out[2].extend(Decimal(max(min(int(-s), most), -most)) for s, _ in best)
+        kinds = (pa.int64(), pa.int64(), pa.decimal128(DIGITS, 0))
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
     keys = ["d", "cb", "qb"]
-    found = cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    found = cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score decimal({DIGITS},0)")
     found = stage(found, "topk-found")
     discard(groups, queries)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = F.greatest(F.lit(-(2**63)).cast("decimal(38,0)"), F.least(F.lit(2**63 - 1).cast("decimal(38,0)"), F.col("score")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.cast("long").alias("score"))
 
 
 def quantized(rows: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v): floor(scale * component) of the vectors whose components are all finite."""
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """(vec_id, v): floor(scale * component), as doubles, of the vectors whose components are all finite."""
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale  # from 2^53 on doubles are whole
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    v = F.transform("embedding", whole)
     return rows.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 

@@ -4,8 +4,9 @@ Every URL is expanded into (host suffix, path prefix) expressions.  Expressions
 in an equi-join on the first four bytes of their SHA-256; the full digest then confirms a hit
 and the longest rule decides.
 
-The path prefixes of a URL are those whose lengths occur among the rules' paths, so a URL makes
-(host labels) x (distinct rule path lengths) expressions however long its path is.
+The host suffixes of a URL are those with as many labels as some rule's host, the path prefixes
+those as long as some rule's path, so a URL makes at most (distinct label counts) x (distinct path
+lengths) expressions however long its host and its path are.
 """
 
 from __future__ import annotations
@@ -80,12 +81,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     if not lengths:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = base.select("host", "path").where("host <> ''").distinct()
-    labels = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    # At most as many counts as a host has labels, a few in practice.
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    counts = sorted(r[0] for r in known.select((dots(F.col("r_host")) + 1).alias("n")).distinct().collect())
+    suffixes = F.array(*[F.when(dots(F.col("host")) + 1 >= m, F.substring_index("host", ".", -m)) for m in counts])
     exprs = (
-        keys.withColumn("r_host", F.explode(suffixes))
+        keys.withColumn("r_host", F.explode(F.array_compact(suffixes)))
         .withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths])))
         .where(F.length("path") >= F.col("n"))
         .withColumn("digest", _digest(F.col("r_host"), F.expr("substring(path, 1, n)")))
