@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import langid, line_dedup, mixing, ngram_join, packing
-from orrery.llm.common import stage
+from orrery.llm.common import stage, whole_row
 
 #: Words per shingle and least similarity in percent of the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -19,7 +19,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and undecided ones go."""
     model = langid.fit(langid.training_rows(docs))
-    return langid.predict(docs, model).where(langid.accepted()).select(*docs.columns)
+    rows = docs.select(whole_row(docs).alias("row"), "text")
+    return langid.predict(rows, model, carry=["row"]).where(langid.accepted()).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
