@@ -38,7 +38,6 @@ LIST_ENTRIES = 1024
 #: Entries of one component in a list from which on they have a list of their own, and of a list from which on they carry parities.
 OWN_LIST, PARITY_LIST = 32, 32
 CHUNK_CHARS = 1 << 20
-CACHE_WORDS = 400_000
 
 
 class Shingler:
@@ -48,7 +47,6 @@ class Shingler:
         import xxhash
 
         self.n, self.hash = words, xxhash.xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         # Splitting and lower-casing bytes touches ASCII only, as the contract has it.
@@ -57,12 +55,7 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(words) < self.n:
             return np.array([self.hash(b" ".join(words), seed=len(words))], np.uint64)
-        known, make = self.known, self.hash
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = make(w)
-        h = np.array([known[w] for w in words], np.uint64)
+        h = np.fromiter(map(self.hash, words), np.uint64, len(words))
         size = len(h) - self.n + 1
         out = h[:size].copy()
         for k in range(1, self.n):
