@@ -8,6 +8,7 @@ predecessor wrote.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.llm import langid, line_dedup, mixing, ngram_join, packing
 from orrery.llm.common import stage, whole_row
@@ -19,8 +20,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and undecided ones go."""
     model = langid.fit(langid.training_rows(docs))
-    rows = docs.select(whole_row(docs).alias("row"), "text")
-    return langid.predict(rows, model, carry=["row"]).where(langid.accepted()).select("row.*")
+    # Other columns travel as one; each text once.
+    rows = docs.select(whole_row(docs.drop("text")).alias("row"), "text")
+    kept = langid.predict(rows, model, carry=["row", "text"]).where(langid.accepted())
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
