@@ -4,7 +4,9 @@ Terms are a document's distinct words and their first four and five letters.  Th
 linear weights and the inner products of the terms' latent vectors, so a pair of terms can count
 although neither counts alone, and the same in texts of any length.  Linear weights follow the
 regularised leader with an L1 penalty; latent vectors are fitted on all sampled texts at once, for
-frequent terms whose pairs go with the errors of the linear weights beyond chance.
+the terms whose pairs go most with the errors of the linear weights, under the penalty that rates
+kept-aside texts best.  Pairs that do not help there, beyond what one coefficient more would
+anyway, are left out, that is, the penalty is then without bound.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ RANK, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 #: Turns of the search for leading pairs, and gradient steps of the latent vectors a round.
 TURNS, STEPS = 15, 30
-#: Deviations by which a term stands out in a direction.
-STANDS_OUT = 5.0
-#: Times that a direction's value must exceed the largest of shuffled errors.
-CLEAR = 1.15
-#: Fits of the latent vectors, each beside linear weights fitted anew.
-ROUNDS = 2
+#: Terms that get latent vectors at most.
+LATENT_TERMS = 512
+#: Penalties tried, as shares of the one that leaves no latent vectors.
+SHARES = (0.9, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.06)
+#: Parts of the sample that are kept aside in turn to choose among them.
+FOLDS = 3
 CACHE_WORDS = 400_000
 
 
@@ -47,6 +49,39 @@ class Model:
     slot: np.ndarray  # (2 ** BITS,), row of each term in latent
 
 
+class Linear:
+    """Linear weights by the regularised leader."""
+
+    def __init__(self, bias: float):
+        self.bias, self.bias_n = bias, 1.0
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+
+    def weights(self, ids: np.ndarray | slice = slice(None)) -> np.ndarray:
+        z, n = self.z[ids], self.n[ids]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+    def fit(self, rows: list[tuple[np.ndarray, int]], beside: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
+        """Fit beside the pairs' terms.  The linear scores of the texts, each before its last step."""
+        raw = np.zeros(len(rows))
+        for _ in range(epochs):
+            for i in rng.permutation(len(rows)):
+                ids, y = rows[i]
+                w = self.weights(ids)
+                raw[i] = self.bias + w.sum()
+                g = 1.0 / (1.0 + np.exp(-np.clip(raw[i] + beside[i], -30, 30))) - y
+                n = self.n[ids]
+                more = n + g * g
+                self.z[ids] += g - (np.sqrt(more) - np.sqrt(n)) / ALPHA * w
+                self.n[ids] = more
+                self.bias_n += g * g
+                self.bias -= ALPHA * g / np.sqrt(self.bias_n)
+        return raw
+
+    def scores(self, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+        w = self.weights()
+        return np.array([self.bias + w[ids].sum() for ids, _ in rows])
+
+
 class Terms:
     """Hashed term ids of a text."""
 
@@ -87,7 +122,8 @@ def pair_terms(ids: np.ndarray, model: Model) -> float:
 class Pairs:
     """Latent vectors of all texts at once; single steps would move every term of a long text for one pair."""
 
-    def __init__(self, slots: list[np.ndarray], size: int):
+    def __init__(self, slots: list[np.ndarray], size: int, mean: np.ndarray | None = None):
+        """``mean``: each term's share of the texts, where it is that of others."""
         self.size = size
         self.ends = np.cumsum([0] + [len(x) + 1 for x in slots])
         # Every text starts with the zero row, so none is empty.
@@ -99,7 +135,7 @@ class Pairs:
         self.width = np.maximum(self.df, 1) ** -0.25
         self.width[0] = 0
         # Terms count from their means, or the commonest would drown all others; the rest of each product is linear.
-        self.mean = self.df / max(len(slots), 1)
+        self.mean = self.df / max(len(slots), 1) if mean is None else mean.copy()
         self.mean[0] = 0
 
     def _parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -127,7 +163,9 @@ class Pairs:
             own += np.bincount(at, np.repeat(r[rows], n), self.size)
             for k in range(v.shape[1]):
                 out[:, k] += np.bincount(at, np.repeat(r[rows] * s[:, k], n), self.size)
-        return out - own[:, None] * v - self.mean[:, None] * total
+        out -= own[:, None] * v + self.mean[:, None] * total
+        out[0] = 0  # the row that stands for no term stays zero
+        return out
 
     def leading(self, r: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Largest values and their vectors of the pairs' covariance with ``r``."""
@@ -145,44 +183,37 @@ def _chance(raw: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit_latent(slots: list[np.ndarray], pairs: Pairs, v: np.ndarray, raw: np.ndarray, first: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Latent vectors of the terms of ``v`` and of those that the errors of ``raw``, the scores with ``v``, show.
-
-    Directions of the errors count if they stand out from those of shuffled errors, and terms if
-    they stand out in such a direction.  All are fitted beside ``first``, the linear scores alone;
-    the same bound among these terms is the penalty.
-    """
-    r = y - _chance(raw)
-    noise = CLEAR * pairs.leading(rng.permutation(r), rng)[0][0]
+def leading_terms(pairs: Pairs, r: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Up to LATENT_TERMS slots of the terms that weigh most in the directions in which pairs go with the errors ``r``."""
     value, u = pairs.leading(r, rng)
-    size = np.abs(u[:, value > noise]) / np.maximum(pairs.width, 1e-9)[:, None]
-    found = v.any(axis=1) | (size > STANDS_OUT / 0.6745 * np.median(size[1:], axis=0)).any(axis=1)
-    found[0] = False
-    if found.sum() == v.any(axis=1).sum():
-        return v
-    raw, out = first, np.zeros_like(v)
-    at = np.where(found, np.cumsum(found), 0)
-    few = Pairs([at[x][at[x] > 0] for x in slots], int(found.sum()) + 1)
-    r = y - _chance(raw)
-    noise = max(float(few.leading(rng.permutation(r), rng)[0][0]), 1e-9)
-    value, u = few.leading(r, rng)
-    u = u[:, value > noise]
+    size = (np.abs(u[:, value > 0]) / np.maximum(pairs.width, 1e-9)[:, None]).max(axis=1, initial=0.0)
+    size[0] = 0.0
+    best = np.argsort(-size, kind="stable")[:LATENT_TERMS]
+    return np.sort(best[size[best] > 0])
+
+
+def fit_latent(few: Pairs, raw: np.ndarray, y: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """Latent vectors beside the scores ``raw``.  The penalty is ``share`` of the one that leaves no vectors."""
+    value, u = few.leading(y - _chance(raw), rng)
+    penalty = share * float(value[0])
+    u = u[:, value > penalty]
+    if penalty <= 0 or not u.shape[1]:
+        return np.zeros((few.size, RANK))
     f, c = few.values(u), np.zeros(u.shape[1])
     scale = np.where(few.width > 0, few.width, 1.0)[:, None] ** -2
 
     def cost(x: np.ndarray) -> float:
         now = raw + few.values(x).sum(axis=1)
-        return float((np.logaddexp(0, now) - y * now).sum()) + 0.5 * noise * float((scale * x * x).sum())
+        return float((np.logaddexp(0, now) - y * now).sum()) + 0.5 * penalty * float((scale * x * x).sum())
 
-    for _ in range(10 if len(c) else 0):
+    for _ in range(10):
         p = _chance(raw + f @ c)
-        step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + 1e-6 * np.eye(len(c)) * (f * f).sum(axis=0).max(), f.T @ (y - p) - noise / 2)
+        step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + 1e-6 * np.eye(len(c)) * (f * f).sum(axis=0).max(), f.T @ (y - p) - penalty / 2)
         c = min((np.clip(c + 0.25**k * step, 0, None) for k in range(6)), key=lambda x: cost(u * np.sqrt(x)))
     w = u * np.sqrt(c)
-    now, step = cost(w), 1.0 / noise
+    now, step = cost(w), 1.0 / penalty
     for _ in range(STEPS if w.any() else 0):
-        r = y - _chance(raw + few.values(w).sum(axis=1))
-        way = few.slope(r, w) / scale - noise * w
+        way = few.slope(y - _chance(raw + few.values(w).sum(axis=1)), w) / scale - penalty * w
         for _ in range(8):
             tried = w + step * way
             got = cost(tried)
@@ -192,64 +223,85 @@ def fit_latent(slots: list[np.ndarray], pairs: Pairs, v: np.ndarray, raw: np.nda
             step /= 4
         else:
             break
-    out[found, : w.shape[1]] = w[1:]
+    out = np.zeros((few.size, RANK))
+    out[:, : w.shape[1]] = w
     return out
 
 
+def pairs_of(slots: list[np.ndarray], size: int, keep: np.ndarray, mean: np.ndarray | None = None) -> Pairs:
+    """Pairs among the slots ``keep`` only, numbered from 1."""
+    at = np.zeros(size, np.int64)
+    at[keep] = np.arange(1, len(keep) + 1)
+    return Pairs([at[x][at[x] > 0] for x in slots], len(keep) + 1, mean)
+
+
+def fitted_loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Logarithmic loss of a logistic regression on the columns of ``x``, with no coefficient below zero."""
+    x = np.column_stack([x / np.maximum(x.std(axis=0), 1e-9), np.ones(len(y))])
+    c = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = _chance(x @ c)
+        c = c + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(c)), x.T @ (y - p) - 1e-3 * c)
+        c[:-1] = np.clip(c[:-1], 0, None)
+    raw = x @ c
+    return float((np.logaddexp(0, raw) - y * raw).sum())
+
+
+def choose_share(rows: list[tuple[np.ndarray, int]], slots: list[np.ndarray], y: np.ndarray, size: int, start: float, rng: np.random.Generator) -> float | None:
+    """The penalty whose pairs add most to linear scores of kept-aside texts; None if none adds more than
+    one coefficient chosen among as many penalties would by chance (Akaike's criterion and a union bound)."""
+    fold, raw, found = rng.integers(0, FOLDS, len(rows)), np.zeros(len(rows)), np.zeros((len(rows), len(SHARES)))
+    for k in range(FOLDS):
+        here, aside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        mine, linear = [slots[i] for i in here], Linear(start)
+        own = linear.fit([rows[i] for i in here], np.zeros(len(here)), 1, rng)
+        raw[aside] = linear.scores([rows[i] for i in aside])
+        keep = leading_terms(Pairs(mine, size), y[here] - _chance(own), rng)
+        few = pairs_of(mine, size, keep)
+        other = pairs_of([slots[i] for i in aside], size, keep, few.mean)
+        for j, share in enumerate(SHARES):
+            found[aside, j] = other.values(fit_latent(few, own, y[here], share, rng)).sum(axis=1)
+    base = fitted_loss(raw[:, None], y)
+    gain = [base - fitted_loss(np.column_stack([raw, found[:, j]]), y) for j in range(len(SHARES))]
+    return SHARES[int(np.argmax(gain))] if max(gain) > 1 + np.log(len(SHARES)) else None
+
+
+def centred(linear: np.ndarray, bias: float, latent: np.ndarray, slot: np.ndarray, mean: np.ndarray) -> Model:
+    """The model whose plain pairs, with the linear weights and bias, give what ``Pairs.values`` gives about ``mean``."""
+    m = mean @ latent
+    return Model(bias + 0.5 * float(m @ m), linear - (latent @ m)[slot], latent, slot)
+
+
 def fit_rows(rows: list[tuple[np.ndarray, int]], seed: int = 0) -> Model:
-    """Fit on (ids, label) pairs: the latent vectors in rounds, then the linear weights beside them."""
-    size, rng = 1 << BITS, np.random.default_rng(seed)
-    df = np.zeros(size, np.int64)
+    """Fit on (ids, label) pairs: the latent vectors, then the linear weights beside them."""
+    rng = np.random.default_rng(seed)
+    df = np.zeros(1 << BITS, np.int64)
     for ids, _ in rows:
         df[ids] += 1
     wide = df >= MIN_LATENT_DOCS
-    slot = np.where(wide, np.cumsum(wide), 0)
-    latent = np.zeros((int(wide.sum()) + 1, RANK))
+    slot, size = np.where(wide, np.cumsum(wide), 0), int(wide.sum()) + 1
     y_mean = np.mean([y for _, y in rows]) if rows else 0.0
     start = float(np.log((y_mean + 1e-3) / (1 - y_mean + 1e-3)))
-    z, n, b = np.zeros(size), np.zeros(size), start
-
-    def solve(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-
-    def fit_linear(beside: np.ndarray, epochs: int) -> np.ndarray:
-        """Fit z, n and b anew beside the pairs' terms.  The linear scores of the texts, each before its last step."""
-        nonlocal b
-        z[:], n[:], b, bn = 0, 0, start, 1.0
-        raw = np.zeros(len(rows))
-        for _ in range(epochs):
-            for i in rng.permutation(len(rows)):
-                ids, y = rows[i]
-                zi, ni = z[ids], n[ids]
-                w = solve(zi, ni)
-                raw[i] = b + w.sum()
-                g = 1.0 / (1.0 + np.exp(-np.clip(raw[i] + beside[i], -30, 30))) - y
-                more = ni + g * g
-                z[ids] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
-                n[ids] = more
-                bn += g * g
-                b -= ALPHA * g / np.sqrt(bn)
-        return raw
-
+    latent, mean, linear = np.zeros((1, RANK)), np.zeros(1), Linear(start)
+    at = np.zeros(1 << BITS, np.int64)
     if 0 < y_mean < 1:
         rows = [(ids[df[ids] >= MIN_DOCS], y) for ids, y in rows]
-        labels = np.array([y for _, y in rows], float)
+        y = np.array([y for _, y in rows], float)
         slots = [slot[ids][slot[ids] > 0] for ids, _ in rows]
-        pairs = Pairs(slots, len(latent))
-        beside, first = np.zeros(len(rows)), None
-        for _ in range(ROUNDS if len(latent) > 1 else 0):
+        beside = np.zeros(len(rows))
+        share = choose_share(rows, slots, y, size, start, rng) if size > 1 else None
+        if share is not None:
             # After one epoch no score knows its own text's label: linear weights learn long texts by heart, and pairs would find no errors.
-            raw = fit_linear(beside, 1) + beside
-            first = raw if first is None else first
-            latent = fit_latent(slots, pairs, latent, raw, first, labels, rng)
-            beside = pairs.values(latent).sum(axis=1)
-        fit_linear(beside, EPOCHS)
-    linear = solve(z, n)
-    if latent.any():
-        mean = pairs.mean @ latent
-        linear = linear - (latent @ mean)[slot]
-        b += 0.5 * float(mean @ mean)
-    return Model(b, linear, latent, slot)
+            raw = Linear(start).fit(rows, beside, 1, rng)
+            keep = leading_terms(Pairs(slots, size), y - _chance(raw), rng)
+            few = pairs_of(slots, size, keep)
+            latent, mean = fit_latent(few, raw, y, share, rng), few.mean
+            beside = few.values(latent).sum(axis=1)
+            number = np.zeros(size, np.int64)
+            number[keep] = np.arange(1, len(keep) + 1)
+            at = number[slot]
+        linear.fit(rows, beside, EPOCHS, rng)
+    return centred(linear.weights(), linear.bias, latent, at, mean)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:

@@ -346,3 +346,59 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) <= set(range(60)) and out.length.max() <= 2048
     assert out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize(("rows", "length"), [(4000, 20), (12000, 20), (4000, 200), (12000, 200)])
+def test_toxicity_pairs_by_sample_and_length(rows, length):
+    """Toxic is one combination of insult and group and not the other, in short and long texts, few and many labels."""
+    rng = random.Random(rows + length)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(1500)]
+    terms, made = toxicity.Terms(), []
+    for _ in range(rows + 500):
+        a, b = rng.randint(0, 1), rng.randint(0, 1)
+        text = rng.choices(pool, k=length) + [("vile", "dull")[a], ("group", "other")[b]]
+        rng.shuffle(text)
+        made.append((terms(" ".join(text)), int(a == b)))
+    m = toxicity.fit_rows(made[:rows])
+    right = sum((m.bias + m.linear[ids].sum() + toxicity.pair_terms(ids, m) >= 0) == bool(y) for ids, y in made[rows:])
+    assert m.latent.any() and right >= 475
+
+
+def test_toxicity_scores_and_slopes_by_explicit_sums():
+    rng = np.random.default_rng(3)
+    size, texts = 9, [np.sort(np.random.default_rng(i).choice(np.arange(1, 9), i % 6, replace=False)) for i in range(25)]
+    pairs, v = toxicity.Pairs(texts, size), np.random.default_rng(4).normal(size=(size, toxicity.RANK))
+    v[0] = 0
+    held = np.zeros((len(texts), size))
+    for i, x in enumerate(texts):
+        held[i, x] = 1
+    mean = held.mean(axis=0)
+
+    def by_sums(w):  # all pairs of centred terms, and of a term with itself what centring leaves
+        out = np.zeros((len(texts), w.shape[1]))
+        for i in range(len(texts)):
+            for s in range(size):
+                for t in range(size):
+                    c = (held[i, s] - mean[s]) * (held[i, t] - mean[t]) - (held[i, s] if s == t else 0)
+                    out[i] += 0.5 * c * w[s] * w[t]
+        return out
+
+    assert np.allclose(pairs.values(v), by_sums(v))
+    r, step, slope = rng.normal(size=len(texts)), 1e-5, pairs.slope(rng.normal(size=len(texts)) * 0, v)
+    assert not slope.any()
+    slope = pairs.slope(r, v)
+    assert not slope[0].any()  # of no term
+    for s in range(1, size):
+        for k in range(toxicity.RANK):
+            up, down = v.copy(), v.copy()
+            up[s, k] += step
+            down[s, k] -= step
+            assert abs((r @ (by_sums(up) - by_sums(down))).sum() / (2 * step) - slope[s, k]) < 1e-5
+    # What centring adds is linear, so the model has it in its linear weights and bias.
+    linear = rng.normal(size=size)
+    model = toxicity.centred(linear, 0.3, v, np.arange(size), pairs.mean)
+    for i, x in enumerate(texts):
+        plain = sum(v[s] @ v[t] for n, s in enumerate(x) for t in x[:n])
+        assert np.isclose(toxicity.pair_terms(x, model), plain)
+        want = 0.3 + linear[x].sum() + pairs.values(v)[i].sum()
+        assert np.isclose(model.bias + model.linear[x].sum() + toxicity.pair_terms(x, model), want)
