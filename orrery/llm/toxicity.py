@@ -30,8 +30,8 @@ TRAIN_ROWS = 12_000
 MIN_DOCS, MIN_LATENT_DOCS = 3, 20
 RANK, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
-#: Turns of the search for leading pairs, and gradient steps of the latent vectors a round.
-TURNS, STEPS = 15, 30
+#: Turns of the search for leading pairs, and gradient steps of the latent vectors.
+TURNS, STEPS = 15, 15
 #: Terms that get latent vectors at most.
 LATENT_TERMS = 512
 #: Penalties tried, as shares of the one that leaves no latent vectors.
@@ -192,39 +192,43 @@ def leading_terms(pairs: Pairs, r: np.ndarray, rng: np.random.Generator) -> np.n
     return np.sort(best[size[best] > 0])
 
 
-def fit_latent(few: Pairs, raw: np.ndarray, y: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
-    """Latent vectors beside the scores ``raw``.  The penalty is ``share`` of the one that leaves no vectors."""
+def fit_latent(few: Pairs, raw: np.ndarray, y: np.ndarray, shares: tuple[float, ...], rng: np.random.Generator) -> list[np.ndarray]:
+    """Latent vectors beside the scores ``raw`` for each penalty, given as the share of the one that leaves no vectors."""
     value, u = few.leading(y - _chance(raw), rng)
-    penalty = share * float(value[0])
-    u = u[:, value > penalty]
-    if penalty <= 0 or not u.shape[1]:
-        return np.zeros((few.size, RANK))
-    f, c = few.values(u), np.zeros(u.shape[1])
-    scale = np.where(few.width > 0, few.width, 1.0)[:, None] ** -2
-
-    def cost(x: np.ndarray) -> float:
-        now = raw + few.values(x).sum(axis=1)
-        return float((np.logaddexp(0, now) - y * now).sum()) + 0.5 * penalty * float((scale * x * x).sum())
-
-    for _ in range(10):
-        p = _chance(raw + f @ c)
-        step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + 1e-6 * np.eye(len(c)) * (f * f).sum(axis=0).max(), f.T @ (y - p) - penalty / 2)
-        c = min((np.clip(c + 0.25**k * step, 0, None) for k in range(6)), key=lambda x: cost(u * np.sqrt(x)))
-    w = u * np.sqrt(c)
-    now, step = cost(w), 1.0 / penalty
-    for _ in range(STEPS if w.any() else 0):
-        way = few.slope(y - _chance(raw + few.values(w).sum(axis=1)), w) / scale - penalty * w
-        for _ in range(8):
-            tried = w + step * way
-            got = cost(tried)
-            if got < now:
-                w, now, step = tried, got, step * 2
+    f, scale = few.values(u), np.where(few.width > 0, few.width, 1.0)[:, None] ** -2
+    weight = (scale * u * u).sum(axis=0)
+
+    def loss(now: np.ndarray) -> float:
+        return float((np.logaddexp(0, now) - y * now).sum())
+
+    out = []
+    for penalty in [share * float(value[0]) for share in shares]:
+        w = np.zeros((few.size, RANK))
+        out.append(w)
+        on = value > penalty
+        if penalty <= 0 or not on.any():
+            continue
+        # How far along each direction: a column's term grows with the square of its vector.
+        g, c, cost = f[:, on], np.zeros(int(on.sum())), 0.5 * penalty * weight[on]
+        for _ in range(10):
+            p = _chance(raw + g @ c)
+            step = np.linalg.solve(g.T @ (g * (p * (1 - p))[:, None]) + 1e-6 * np.eye(len(c)) * (g * g).sum(axis=0).max(), g.T @ (y - p) - cost)
+            c = min((np.clip(c + 0.25**k * step, 0, None) for k in range(6)), key=lambda x: loss(raw + g @ x) + float(cost @ x))
+        w[:, : len(c)] = u[:, on] * np.sqrt(c)
+        # Then all vectors by gradient steps.
+        now, length, terms = loss(raw + g @ c) + float(cost @ c), 1.0 / penalty, g @ c
+        for _ in range(STEPS if w.any() else 0):
+            way = few.slope(y - _chance(raw + terms), w) / scale - penalty * w
+            for _ in range(8):
+                tried = w + length * way
+                more = few.values(tried).sum(axis=1)
+                got = loss(raw + more) + 0.5 * penalty * float((scale * tried * tried).sum())
+                if got < now:
+                    w[:], now, terms, length = tried, got, more, length * 2
+                    break
+                length /= 4
+            else:
                 break
-            step /= 4
-        else:
-            break
-    out = np.zeros((few.size, RANK))
-    out[:, : w.shape[1]] = w
     return out
 
 
@@ -259,8 +263,8 @@ def choose_share(rows: list[tuple[np.ndarray, int]], slots: list[np.ndarray], y:
         keep = leading_terms(Pairs(mine, size), y[here] - _chance(own), rng)
         few = pairs_of(mine, size, keep)
         other = pairs_of([slots[i] for i in aside], size, keep, few.mean)
-        for j, share in enumerate(SHARES):
-            found[aside, j] = other.values(fit_latent(few, own, y[here], share, rng)).sum(axis=1)
+        for j, latent in enumerate(fit_latent(few, own, y[here], SHARES, rng)):
+            found[aside, j] = other.values(latent).sum(axis=1)
     base = fitted_loss(raw[:, None], y)
     gain = [base - fitted_loss(np.column_stack([raw, found[:, j]]), y) for j in range(len(SHARES))]
     return SHARES[int(np.argmax(gain))] if max(gain) > 1 + np.log(len(SHARES)) else None
@@ -295,7 +299,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], seed: int = 0) -> Model:
             raw = Linear(start).fit(rows, beside, 1, rng)
             keep = leading_terms(Pairs(slots, size), y - _chance(raw), rng)
             few = pairs_of(slots, size, keep)
-            latent, mean = fit_latent(few, raw, y, share, rng), few.mean
+            latent, mean = fit_latent(few, raw, y, (share,), rng)[0], few.mean
             beside = few.values(latent).sum(axis=1)
             number = np.zeros(size, np.int64)
             number[keep] = np.arange(1, len(keep) + 1)
