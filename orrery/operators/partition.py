@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,34 +52,56 @@ def least_loaded(sizes: list[int], k: int) -> list[list[int]]:
     return parts
 
 
-def balanced(items: DataFrame, k: int, group: str = "batch_id", method: str = "largest_differencing") -> DataFrame:
-    """(group, item_id, part) of (group, item_id, seqlen); a group is one batch, which one task holds."""
-    pick = {"largest_differencing": largest_differencing, "least_loaded": least_loaded}[method]
+def _dealt(items: DataFrame, group: str, pick: Callable[[list[int]], list[list[int]]], places: bool = False) -> DataFrame:
+    """(group, item_id, seqlen, part), with ``places`` also pos and new_pos: ``pick`` deals each batch's lengths, in order of item_id.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        part = pd.Series(0, index=pdf.index, dtype="int32")
-        for p, rows in enumerate(pick(pdf.seqlen.tolist(), min(k, len(pdf)))):
-            part[rows] = p
-        return pdf.assign(part=part)[[group, "item_id", "seqlen", "part"]]
+    Rows arrive batch by batch; a task holds one batch and one Arrow batch of rows, and small batches
+    share a call.  A null length counts as 0.
+    """
+    w = W.partitionBy(group).orderBy(F.col("item_id").asc_nulls_last(), "seqlen")
+    rows = items.select(group, F.col("item_id").cast("long").alias("item_id"), F.col("seqlen").cast("long").alias("seqlen")).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    names = [group, "item_id", "seqlen", "part"] + (["pos", "new_pos"] if places else [])
+
+    def deal(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pa.Table.from_batches(held).combine_chunks().to_batches():
+            sizes = rows.column(2).fill_null(0).to_pylist()
+            starts = np.flatnonzero(rows.column(3).to_numpy() == 0).tolist()
+            part, new = [0] * len(sizes), [0] * len(sizes)
+            for start, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
+                at = start
+                for p, own in enumerate(pick(sizes[start:end])):
+                    for i in own:
+                        part[start + i], new[start + i] = p, at - start
+                        at += 1
+            columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(part, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns + ([rows.column(3), pa.array(new, pa.int64())] if places else []), names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(3).to_numpy() == 0)
+            if len(starts):  # the last batch in it may go on in the next rows
+                held.append(batch.slice(0, starts[-1]))
+                if any(len(b) for b in held):
+                    yield from deal(held)
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from deal(held)
 
     kind = items.schema[group].dataType.simpleString()
-    return items.groupBy(group).applyInPandas(run, f"{group} {kind}, item_id long, seqlen long, part int")
+    return rows.mapInArrow(run, f"{group} {kind}, item_id long, seqlen long, part int" + (", pos long, new_pos long" if places else ""))
 
 
-def micro_batches(items: DataFrame, budget: int, group: str = "batch_id") -> DataFrame:
-    """As many balanced parts as the token budget needs."""
+def balanced(items: DataFrame, k: int, group: str = "batch_id", method: str = "largest_differencing") -> DataFrame:
+    """(group, item_id, seqlen, part) of (group, item_id, seqlen); a group is one batch, which one task holds."""
+    pick = {"largest_differencing": largest_differencing, "least_loaded": least_loaded}[method]
+    return _dealt(items, group, lambda sizes: pick(sizes, min(k, len(sizes))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        k = min(max(-(-int(pdf.seqlen.sum()) // budget), 1), len(pdf))
-        part = pd.Series(0, index=pdf.index, dtype="int32")
-        for p, rows in enumerate(largest_differencing(pdf.seqlen.tolist(), k)):
-            part[rows] = p
-        return pdf.assign(part=part)[[group, "item_id", "seqlen", "part"]]
 
-    kind = items.schema[group].dataType.simpleString()
-    return items.groupBy(group).applyInPandas(run, f"{group} {kind}, item_id long, seqlen long, part int")
+def micro_batches(items: DataFrame, budget: int, group: str = "batch_id") -> DataFrame:
+    """As many balanced parts as the token budget needs."""
+    return _dealt(items, group, lambda sizes: largest_differencing(sizes, min(max(-(-sum(sizes) // budget), 1), len(sizes))))
 
 
 def positions(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -130,18 +154,7 @@ def balance_ranks(items: DataFrame, ranks: int, group: str = "batch_id") -> Data
     permutation and, read the other way, its inverse.  A batch is one task; one whose count ``ranks``
     does not divide ends the query with an error.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        part, new = pd.Series(0, index=pdf.index, dtype="int32"), pd.Series(0, index=pdf.index, dtype="int64")
-        at = 0
-        for p, rows in enumerate(largest_differencing(pdf.seqlen.tolist(), ranks, equal_size=True)):
-            part[rows], new[rows] = p, range(at, at + len(rows))
-            at += len(rows)
-        return pdf.assign(part=part, pos=range(len(pdf)), new_pos=new)[[group, "item_id", "seqlen", "part", "pos", "new_pos"]]
-
-    kind = items.schema[group].dataType.simpleString()
-    return items.groupBy(group).applyInPandas(run, f"{group} {kind}, item_id long, seqlen long, part int, pos long, new_pos long")
+    return _dealt(items, group, lambda sizes: largest_differencing(sizes, ranks, equal_size=True), places=True)
 
 
 def restored(balanced_rows: DataFrame, results: DataFrame, group: str = "batch_id") -> DataFrame:

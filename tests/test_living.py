@@ -302,3 +302,30 @@ def test_latest_snapshot(spark, tmp_path):
     assert logs.snapshot(spark, path).count() == 4 and logs.snapshot(spark, path, 3) is None
     logs.save_snapshot(one(5), path, 1)  # an earlier step again: replaced, but not the latest
     assert (logs.snapshot(spark, path).count(), logs.snapshot(spark, path, 1).count()) == (4, 5)
+
+
+@pytest.mark.parametrize("method", ["largest_differencing", "least_loaded", "micro", "ranks"])
+def test_many_small_batches_share_a_call(spark, method):
+    """One Python call a batch took over 150 s for 150,000 batches; batches also lie across the borders of Arrow batches."""
+    rng = random.Random(7)
+    rows = [(b, i, rng.randint(1, 900)) for b in [None, *range(60)] for i in rng.sample(range(1000), 4 * rng.randint(1, 9))]
+    items = spark.createDataFrame(rows, "batch_id long, item_id long, seqlen long").repartition(3)
+    parts = {
+        "largest_differencing": (lambda d: partition.balanced(d, 2), lambda s: partition.largest_differencing(s, 2)),
+        "least_loaded": (lambda d: partition.balanced(d, 2, method="least_loaded"), lambda s: partition.least_loaded(s, 2)),
+        "micro": (lambda d: partition.micro_batches(d, 1000), lambda s: partition.largest_differencing(s, min(max(-(-sum(s) // 1000), 1), len(s)))),
+        "ranks": (lambda d: partition.balance_ranks(d, 4), lambda s: partition.largest_differencing(s, 4, equal_size=True)),
+    }
+    dealt, pick = parts[method]
+    want = []
+    for b in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == b)
+        want += [(b, *own[i], p) for p, held in enumerate(pick([n for _, n in own])) for i in held]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = dealt(items)
+        assert sorted((tuple(r)[:4] for r in out.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
