@@ -24,14 +24,18 @@ def _programs(spark, d):
     )
 
 
-def with_parents(children, programs):
-    """Each child with the row of its parents; a parent that is not there is null."""
+def with_parents(children, programs, sides=("a", "b")):
+    """Each child with the row of its parents; a parent that is not there is null.
+
+    Children without a parent on a side are dealt by their own number, not all to the task of the null key.
+    """
     ids = F.split("parent_id", "x")
     number = lambda c: F.conv(c, 16, 10).cast("long")
     left = children.withColumns({"a_id": number(F.get(ids, F.lit(0))), "b_id": number(F.get(ids, F.lit(1)))})
-    for side in ("a", "b"):
-        side_rows = programs.select(F.col("seq").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "grp", "generation")])
-        left = left.join(side_rows, f"{side}_id", "left")
+    for side in sides:
+        side_rows = programs.select(F.col("seq").alias(f"{side}_id"), F.col("seq").isNull().cast("int").alias("deal"), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "grp", "generation")])
+        left = left.withColumn("deal", F.when(F.col(f"{side}_id").isNull(), F.hash("seq")).otherwise(0))
+        left = left.join(side_rows, [f"{side}_id", "deal"], "left").drop("deal")
     return left
 
 
@@ -58,7 +62,7 @@ FROM p c LEFT JOIN p a ON a.seq = c.seq // 2""",
 def operator_consistency(spark, d):
     """A deeper child keeps its parent's kind, a broader one leaves its group; without a parent nothing is asked."""
     p = _programs(spark, d)
-    j = with_parents(p, p)
+    j = with_parents(p, p, ["a"])
     reason = F.when((F.col("op") == "in_depth") & (F.col("a_kind") != F.col("kind")), "kind changed").when(
         (F.col("op") == "in_breadth") & (F.col("a_grp") == F.col("grp")), "group kept"
     )

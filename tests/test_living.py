@@ -329,3 +329,23 @@ def test_many_small_batches_share_a_call(spark, method):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_children_without_a_parent_are_spread(spark):
+    """All rows without a second parent met in the task of the null key."""
+    from orrery.plans.lineage import with_parents
+
+    kids = spark.range(600).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, F.concat_ws("x", F.hex(F.floor(F.col("id") / 2)), F.hex(F.floor(F.col("id") / 3)))).otherwise(F.hex(F.floor(F.col("id") / 2))).alias("parent_id"))
+    programs = spark.range(200).select(F.col("id").alias("seq"), F.lit("t").alias("kind"), F.lit("g").alias("grp"), F.lit(0).alias("generation"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = with_parents(kids, programs).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {(r.seq, r.a_id, r.b_id, r.a_kind, r.b_kind) for r in got} == {
+        (i, i // 2, b, "t" if i // 2 < 200 else None, "t" if b is not None and b < 200 else None) for i in range(600) for b in [i // 3 if i % 3 == 0 else None]
+    }
+    assert len(got) == 600 and len({r.part for r in got if r.b_id is None}) == 4
