@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,16 +103,39 @@ def replay(candidates: DataFrame) -> DataFrame:
     """Every candidate's fate, in order of seq within its archive.
 
     One archive is one task, as each insertion depends on all before it; work spreads over archives.
+    The task holds the champions and one Arrow batch of candidates.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, rows = Fold(), []
-        for c in pdf.sort_values("seq").to_dict("records"):
-            got = fold.insert(c)
-            rows.append((c["archive_id"], c["seq"], c["program_id"], got["status"], c["h_bin"], c["div_bin"], got["duplicate_of"], got["replaced"]))
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in REPLAY.split(", ")])
+    def start(_: str | None) -> Callable[[dict], tuple]:
+        fold = Fold()
+
+        def insert(c: dict) -> tuple:
+            got = fold.insert(c | {"rq": float("nan") if c["rq"] is None else c["rq"]})
+            return c["archive_id"], c["seq"], c["program_id"], got["status"], c["h_bin"], c["div_bin"], got["duplicate_of"], got["replaced"]
+
+        return insert
+
+    return in_order(candidates, start, REPLAY)
+
+
+def in_order(rows: DataFrame, start: Callable[[str | None], Callable[[dict], tuple]], schema: str) -> DataFrame:
+    """Each archive's rows by seq through the function that ``start`` makes for the archive; a row gives a row of ``schema``."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[x.split(" ")[1]] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, archive = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if step is None or r["archive_id"] != archive:
+                    archive = r["archive_id"]
+                    step = start(archive)
+                out.append(step(r))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t, from_pandas=True) for i, t in enumerate(kinds)], names=names)
 
-    return candidates.groupBy("archive_id").applyInPandas(run, REPLAY)
+    rows = rows.withColumn("archive_id", F.col("archive_id").cast("string"))
+    return rows.repartition("archive_id").sortWithinPartitions("archive_id", F.col("seq").asc_nulls_last()).mapInArrow(run, schema)
 
 
 def material_pool(champions: DataFrame, reservoir: DataFrame | None) -> DataFrame:
