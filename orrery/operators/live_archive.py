@@ -7,17 +7,18 @@ same fold runs over a table (:func:`live_replay`) and over a stream (``streaming
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .archive import in_order
+
 #: What happens to an archive: ``kind`` is ``insert`` or ``reeval``; ``u`` is the uncertainty, ``h_bin`` and ``div_bin`` the cell that it and the text give.
 STEP = (
     "archive_id string, seq long, kind string, program_id string, p_hat double, u double, h_bin int, div_bin int, "
     "generation long, valid boolean, behaviour string, template string"
 )
 FATE = "archive_id string, seq long, kind string, program_id string, status string, h_bin int, div_bin int, rq double, duplicate_of string, replaced string, promoted string"
-_NAMES = [x.split(" ")[0] for x in FATE.split(", ")]
 
 Program = dict
 Cell = tuple[int, int]
@@ -143,10 +144,11 @@ def fates(archive: LiveArchive, archive_id: str, rows: list[dict]) -> list[tuple
 
 
 def live_replay(steps: DataFrame, reservoir: int = 4, promote: bool = False) -> DataFrame:
-    """Every step's fate, in order of seq within its archive; ``steps`` has the columns of ``STEP``."""
+    """Every step's fate, in order of seq within its archive; ``steps`` has the columns of ``STEP``.  A task holds one archive and one Arrow batch of steps."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
-        return pd.DataFrame(fates(LiveArchive(reservoir, promote), rows[0]["archive_id"], rows), columns=_NAMES)
+    def start(archive_id: str | None) -> Callable[[dict], tuple]:
+        archive = LiveArchive(reservoir, promote)
+        number = lambda x: float("nan") if x is None else x
+        return lambda r: fates(archive, archive_id, [r | {"p_hat": number(r["p_hat"]), "u": number(r["u"])}])[0]
 
-    return steps.select([x.split(" ")[0] for x in STEP.split(", ")]).groupBy("archive_id").applyInPandas(run, FATE)
+    return in_order(steps.select([x.split(" ")[0] for x in STEP.split(", ")]), start, FATE)

@@ -372,3 +372,20 @@ def test_archive_replay_holds_no_archive(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("promote", [False, True])
+def test_live_replay_holds_no_archive(spark, promote):
+    rows = random_steps(17, 60, 3)
+    d = spark.createDataFrame(rows, live_archive.STEP).repartition(3)
+    want = []
+    for a in sorted({r[0] for r in rows}):
+        want += live_archive.fates(live_archive.LiveArchive(2, promote), a, [dict(zip(NAMES, r)) for r in rows if r[0] == a])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = live_archive.live_replay(d, 2, promote)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
