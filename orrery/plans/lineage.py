@@ -33,8 +33,8 @@ def with_parents(children, programs, sides=("a", "b")):
     number = lambda c: F.conv(c, 16, 10).cast("long")
     left = children.withColumns({"a_id": number(F.get(ids, F.lit(0))), "b_id": number(F.get(ids, F.lit(1)))})
     for side in sides:
-        side_rows = programs.select(F.col("seq").alias(f"{side}_id"), F.col("seq").isNull().cast("int").alias("deal"), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "grp", "generation")])
-        left = left.withColumn("deal", F.when(F.col(f"{side}_id").isNull(), F.hash("seq")).otherwise(0))
+        side_rows = programs.select(F.col("seq").alias(f"{side}_id"), F.hash(F.col("seq").cast("long")).alias("deal"), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "grp", "generation")])
+        left = left.withColumn("deal", F.hash(F.coalesce(F.col(f"{side}_id"), F.col("seq").cast("long"))))
         left = left.join(side_rows, [f"{side}_id", "deal"], "left").drop("deal")
     return left
 
