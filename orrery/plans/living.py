@@ -12,6 +12,8 @@ from .registry import query
 from .views import CAND, DIV_BINS, H_BINS, H_RANGE, STEPS, candidates, cells_by_step, table
 
 PICKS, EPSILON = 5, 0.3
+#: Rows that a task sorts at once where a query deals a whole table by a key.
+TASK_ROWS = 1_000_000
 
 
 def _material(spark, d):
@@ -144,8 +146,10 @@ def axis_bins(spark, d):
 def rank_balance(spark, d):
     """Each supplier's line items, filled up to whole rows of four by its own shortest ones again, dealt to four ranks."""
     own = W.partitionBy("l_suppkey")
-    t = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_quantity").cast("long").alias("seqlen"))
+    lines = table(spark, d, "lineitem")
+    # Counted from the files' footers; a task's rows stay as many when the table grows.
+    t = lines.repartition(max(lines.count() // TASK_ROWS, 8), "l_suppkey").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_quantity").cast("long").alias("seqlen"))
     t = t.withColumns({"k": F.row_number().over(own.orderBy("seqlen", "item_id")), "n": F.count(F.lit(1)).over(own)})
-    pad = t.where((F.col("k") <= F.pmod(-F.col("n"), F.lit(4))) & (F.col("n") >= 4)).withColumn("item_id", -F.col("item_id"))
-    whole = t.where("n >= 4").unionByName(pad)
-    return partition.balance_ranks(whole.select(F.col("l_suppkey").alias("batch_id"), "item_id", "seqlen"), 4)
+    twice = F.when(F.col("k") <= F.pmod(-F.col("n"), F.lit(4)), F.array(F.col("item_id"), -F.col("item_id"))).otherwise(F.array("item_id"))
+    whole = t.where("n >= 4").select(F.col("l_suppkey").alias("batch_id"), F.explode(twice).alias("item_id"), "seqlen")
+    return partition.balance_ranks(whole, 4)

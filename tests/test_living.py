@@ -389,3 +389,20 @@ def test_live_replay_holds_no_archive(spark, promote):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_balance_reads_its_rows_once(spark):
+    """The rows and their copies were two scans, two sorts and a union, in as many tasks for a large table as for a small one."""
+    from orrery.plans import living
+
+    d = "/root/testdata/sf0.001"
+    out = living.rank_balance(spark, d)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    want, own = [], {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity").collect():
+        own.setdefault(r[0], []).append((int(r[3]), r[1] * 10 + r[2]))
+    for b, rows in own.items():
+        if len(rows) >= 4:
+            items = sorted([(i, n) for n, i in rows] + [(-i, n) for n, i in sorted(rows)[: -len(rows) % 4]])
+            want += [(b, *items[i], p) for p, held in enumerate(partition.largest_differencing([n for _, n in items], 4, equal_size=True)) for i in held]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == sorted(want)
