@@ -294,12 +294,15 @@ def _search(postings: DataFrame, percent: int) -> DataFrame:
         .withColumns({"part": part, "l_comp": F.when(F.col("own"), F.col("comp"))})
         .groupBy("token", "l_comp", "part")
         .agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp", "par"))).alias("e"), F.max("comp").alias("top"))
-        .select("token", "l_comp", "top", *[field(c).alias(n) for c, n in columns])
+        .select("token", "l_comp", "top", "e")
     )
     lists = stage(lists, "jac-lists")
     # Each pair is met once: by the document of the smaller component.
     asked = flat.join(lists, "token").where(F.col("comp") < F.coalesce("l_comp", "top"))
-    asked = asked.select("id", F.lit(None).cast("binary").alias("par"), "n", "comp", *[n for _, n in columns])
+    # Entries of other sizes and of smaller components end here, before lists are dealt by document.
+    fits = F.filter("e", lambda e: (F.col("comp") < e["comp"]) & _fits(F.col("n"), e["n"], percent))
+    asked = asked.withColumn("e", fits).where(F.size("e") > 0)
+    asked = asked.select("id", F.lit(None).cast("binary").alias("par"), "n", "comp", *[field(c).alias(n) for c, n in columns])
     none = [F.lit(None).cast(asked.schema[n].dataType).alias(n) for n in asked.columns[2:]]
     asked = asked.unionAll(par.select("id", "par", *none))
 

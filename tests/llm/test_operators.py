@@ -402,3 +402,20 @@ def test_toxicity_scores_and_slopes_by_explicit_sums():
         assert np.isclose(toxicity.pair_terms(x, model), plain)
         want = 0.3 + linear[x].sum() + pairs.values(v)[i].sum()
         assert np.isclose(model.bias + model.linear[x].sum() + toxicity.pair_terms(x, model), want)
+
+
+def test_lists_are_cut_before_they_travel(spark, monkeypatch):
+    """Whole inverted lists went to every document that asked; entries of other sizes and smaller components now end before."""
+    from orrery.llm import ngram_join
+
+    seen, write = {}, ngram_join.stage
+
+    def spy(df, tag):
+        seen[tag] = str(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(ngram_join, "stage", spy)
+    rows = [(1, 10, 1, b"\0" * 16, [5, 6, 7]), (2, 10, 2, b"\0" * 16, [5, 6, 7]), (3, 40, 3, b"\0" * 16, [5, 6, 7])]
+    out = ngram_join._search(spark.createDataFrame(rows, "id long, n long, comp long, par binary, tokens array<long>"), 90)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    assert "filter(e" in seen["jac-pairs"]
