@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import added, fold_held_out
+from .common import fold_held_out
 
 BUCKETS = 1 << 16
 #: Sample per language: PARTS hash parts of PART_ROWS rows at most, whole texts.
@@ -27,8 +27,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 EPOCHS = 3
 #: Scale of the relative term frequencies.
 SCALE = 100.0
-#: Characters handled at once.
-CHUNK_CHARS = 1 << 19
+#: Characters handled at once; each takes about 130 bytes and a double a language meanwhile.
+CHUNK_CHARS = 1 << 16
 
 
 @dataclass
@@ -222,18 +222,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
 
     Texts that are null or have no letter get ``und`` and 0; so do all, if nothing was learned.
     Ties go to the first language in code-point order.  Repeated rows stay repeated.  ``carry``
-    names the columns that the result keeps (all).
+    names the columns that the result keeps (all).  Only texts go to Python, and no text comes back.
     """
     docs = docs.drop("lang_pred", "score")
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, grams = Model(**shared.value), Grams()
         names = np.array([*m.languages, "und"], object)
-        for batch in batches:
+        for column in columns:
             preds, scores = [], []
-            for texts in _chunks(batch.column(batch.schema.get_field_index(text))):
+            for texts in _chunks(column):
                 found, starts, letters = grams(texts)
                 if m.languages:
                     sums = sum(np.add.reduceat(m.weights[g], starts, axis=0) for g in found)
@@ -248,11 +248,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
                     preds.append(np.full(len(texts), "und", object))
                     scores.append(np.zeros(len(texts)))
             cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(carry).columns, cat(preds, pa.string()), cat(scores, pa.float64())], names=[*carry, "lang_pred", "score"]
-            )
+            yield pa.StructArray.from_arrays([cat(preds, pa.string()), cat(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.mapInArrow(label, added(docs.select(carry), lang_pred="string", score="double"))
+    # Not deterministic for the planner only, which else may label texts once for a filter and again for the result.
+    found = F.arrow_udf(label, "lang_pred string, score double").asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in carry]
+    return docs.select(*kept, found(F.col(f"`{text}`")).alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,14 @@ def test_lines_near_misses(spark):
         sets.append(s)
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_language_takes_only_texts_to_python(spark):
+    """Columns that Arrow has no form for stay beside the texts, which are labelled once and in small pieces."""
+    docs = spark.createDataFrame([(i, "be or not to be", "e") for i in range(9)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    out = langid.predict(docs.withColumn("gap", F.expr("make_interval(1)")), model).where(langid.accepted())
+    assert out.where("gap is not null and lang_pred = 'e'").count() == 9
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert max(sum(map(len, c)) for c in langid._chunks(pa.array(["x" * 1000] * 1000))) < 1 << 17
