@@ -2,7 +2,8 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the documents it
 keeps, the last one the packed pieces.  Stages run one after the other, each on what its
-predecessor wrote.
+predecessor wrote.  Stages with Python steps bound their batches by bytes, for the session; ``run``
+takes that back.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import langid, line_dedup, mixing, ngram_join, packing
-from orrery.llm.common import stage, whole_row
+from orrery.llm.common import BATCH_CONF, small_batches, stage, whole_row
 
 #: Words per shingle and least similarity in percent of the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -19,6 +20,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and undecided ones go."""
+    small_batches(spark)
     model = langid.fit(langid.training_rows(docs))
     # Other columns travel as one; each text once.
     rows = docs.select(whole_row(docs.drop("text")).alias("row"), "text")
@@ -33,6 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return ngram_join.one_per_group(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
@@ -43,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, placed in sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
@@ -61,6 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(BATCH_CONF, before)
     return docs

@@ -152,6 +152,17 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, tables)
 
 
+#: Bytes of rows that go to Python at once.  A batch is held as Arrow and as a message in the JVM and
+#: once or more in the worker, outside the heap, for every task of an executor.
+BATCH_BYTES = 2 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python steps that run from now on in this session get batches of about ``BATCH_BYTES``."""
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 #: Keys that a semi- or anti-join may broadcast; more meet in a shuffled join.
 BROADCAST_KEYS = 1_000_000
 

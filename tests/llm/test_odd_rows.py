@@ -121,3 +121,21 @@ def test_language_takes_only_texts_to_python(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
     assert max(sum(map(len, c)) for c in langid._chunks(pa.array(["x" * 1000] * 1000))) < 1 << 17
+
+
+def test_pipeline_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Of the pipeline, Python gets texts in pieces of a few MB; the session's setting comes back."""
+    import corpus_pipeline
+    from orrery.llm.common import BATCH_BYTES, BATCH_CONF
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefg "), 300).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(packing, "pack_documents", lambda docs: docs.mapInArrow(sizes, "n long"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("packing", corpus_pipeline.pack_sequences)])
+    before = spark.conf.get(BATCH_CONF)
+    found = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(found) > 2 and max(found) < 2 * BATCH_BYTES
+    assert spark.conf.get(BATCH_CONF) == before
