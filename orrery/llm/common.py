@@ -38,11 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: lineage ends here, results stay if executors are lost."""
+def stage(df: DataFrame, tag: str, hashes: bool = False) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back: lineage ends here, results stay if executors are lost.
+
+    ``hashes``: its values seldom repeat, so no dictionary of them is tried.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{"parquet.enable.dictionary": "false"} if hashes else {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -8,12 +8,16 @@ The join runs in two steps.  Over all lines, a semi-join on the prefixes in hash
 classes that have a possible partner; all others match nothing.  For the classes left, tokens are
 counted, ordered by rarity, and joined with prefix, length and positional filters.  Each class
 first meets the earliest class of each of its lists; only those that this leaves undecided are
-joined with all earlier classes.  Both steps also compare 128 parities of the tokens, which bound
-the tokens that differ: near misses, of which a group of edited copies has a square, end there.
+joined with all earlier classes.  Both steps also compare parities of the tokens, which bound the
+tokens that differ: near misses, of which a group of edited copies has a square, end there.  The
+first step has 64 of them, as every line pays for them; the second has 128.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +61,17 @@ def _enough(common: Column, m: str, n: str) -> Column:
     return common * (TOP + BOTTOM) >= TOP * (F.col(m) + F.col(n))
 
 
-def _parity(word: int) -> Column:
-    """64 bits of parities: bit ``t & 63`` of the tokens ``t`` whose bit 6 is ``word``."""
+def _parity() -> Column:
+    """64 bits of parities: bit ``t & 63`` of all tokens ``t``."""
+    return F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS INT)))")
+
+
+def _half_parity(word: int) -> Column:
+    """64 of 128 bits of parities: bit ``t & 63`` of the tokens ``t`` whose bit 6 is ``word``."""
     return F.expr(f"aggregate(tokens, 0L, (a, t) -> CASE WHEN (t & 64) = {64 * word} THEN a ^ shiftleft(1L, CAST(t & 63 AS INT)) ELSE a END)")
 
 
-def _near(x: str, y: str) -> Column:
+def _near(x: str, y: str, parities: list[str]) -> Column:
     """What a pair must fulfil to reach the similarity; ``x`` and ``y`` are the prefixes of its columns.
 
     Sizes within the similarity; no more overlap than tokens left from the shared one on and before
@@ -72,18 +81,18 @@ def _near(x: str, y: str) -> Column:
     total = c(x, "m") + c(y, "m")
     sizes = F.least(c(x, "m"), c(y, "m")) * BOTTOM >= F.greatest(c(x, "m"), c(y, "m")) * TOP
     room = F.least(c(x, "at"), c(y, "at")) + F.least(c(x, "m") - c(x, "at"), c(y, "m") - c(y, "at"))
-    apart = F.bit_count(c(x, "b0").bitwiseXOR(c(y, "b0"))) + F.bit_count(c(x, "b1").bitwiseXOR(c(y, "b1")))
+    apart = reduce(add, [F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in parities])
     return sizes & (room * (TOP + BOTTOM) >= total * TOP) & ((total - apart) * (TOP + BOTTOM) >= total * (2 * TOP))
 
 
 def _with_partner(entries: DataFrame) -> DataFrame:
-    """The classes (k1, k2, b0, b1) that could match another one of their lists.  Each entry looks for one partner, so pairs are not listed."""
-    names = ["k1", "k2", "m", "b0", "b1", "at"]
+    """The classes (k1, k2) that could match another one of their lists.  Each entry looks for one partner, so pairs are not listed."""
+    names = ["k1", "k2", "m", "b", "at"]
     x = entries.select("token", *[F.col(c).alias(f"x{c}") for c in names])
     y = entries.select(F.col("token").alias("ytoken"), *[F.col(c).alias(f"y{c}") for c in names])
     other = (F.col("xk1") != F.col("yk1")) | (F.col("xk2") != F.col("yk2"))
-    found = x.join(y, (F.col("token") == F.col("ytoken")) & other & _near("x", "y"), "left_semi")
-    return found.select(F.col("xk1").alias("k1"), F.col("xk2").alias("k2"), F.col("xb0").alias("b0"), F.col("xb1").alias("b1")).distinct()
+    found = x.join(y, (F.col("token") == F.col("ytoken")) & other & _near("x", "y", ["b"]), "left_semi")
+    return found.select(F.col("xk1").alias("k1"), F.col("xk2").alias("k2")).distinct()
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
@@ -97,22 +106,22 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), _plain(F.col("text")).alias("text"))
     rows = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     made = _hashed(rows).withColumns({"k1": F.xxhash64("hs"), "k2": F.xxhash64(F.lit(1), "hs"), "tokens": _tokens()}).drop("hs")
-    made = made.withColumns({"m": F.size("tokens"), "b0": _parity(0), "b1": _parity(1)})
-    lines = stage(made.select("doc_id", "h", "pos", "k1", "k2", "m", "b0", "b1", F.slice("tokens", F.lit(1), _prefix("m")).alias("prefix")), "line-rows")
+    made = made.withColumns({"m": F.size("tokens"), "b": _parity()})
+    lines = stage(made.select("doc_id", "h", "pos", "k1", "k2", "m", "b", F.slice("tokens", F.lit(1), _prefix("m")).alias("prefix")), "line-rows", hashes=True)
     first = F.struct("doc_id", "h", "pos")
-    classes = stage(lines.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
+    classes = stage(lines.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes", hashes=True)
     live = (
         lines.select("k1", F.explode("prefix").alias("token"))
         .groupBy("token")
         .agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
         .where("a < b")
     )
-    live = stage(live.select("token"), "line-live")
-    entries = lines.select("k1", "k2", "m", "b0", "b1", F.posexplode("prefix").alias("at", "token"))
-    entries = stage(by_keys(entries, live, "token").distinct(), "line-shared")
+    live = stage(live.select("token"), "line-live", hashes=True)
+    entries = lines.select("k1", "k2", "m", "b", F.posexplode("prefix").alias("at", "token"))
+    entries = stage(by_keys(entries, live, "token").distinct(), "line-shared", hashes=True)
     linked = stage(_with_partner(entries), "line-partners")
     # Numbered in the order of their first lines: of two classes the earlier has the smaller number.
-    linked = linked.join(classes, ["k1", "k2"]).select("k1", "k2", "first", "b0", "b1").orderBy("first")
+    linked = linked.join(classes, ["k1", "k2"]).select("k1", "k2", "first").orderBy("first")
     linked = stage(linked.withColumn("cid", F.monotonically_increasing_id()), "line-linked")
     found = _matched(docs, lines, linked)
     gone_classes = linked.join(found, "cid")
@@ -137,7 +146,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
     """The classes (cid) of ``linked`` that match an earlier one."""
-    spots = linked.select("first.doc_id", "first.h", F.struct("first.pos", "cid", "b0", "b1").alias("e")).groupBy("doc_id", "h")
+    spots = linked.select("first.doc_id", "first.h", F.struct("first.pos", "cid").alias("e")).groupBy("doc_id", "h")
     spots = spots.agg(F.collect_list("e").alias("at")).select(F.col("doc_id").alias("s_doc"), F.col("h").alias("s_h"), "at")
     spots = stage(spots, "line-spots")
     n = linked.limit(BROADCAST_KEYS + 1).count()
@@ -146,12 +155,12 @@ def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
     rows = texts.join(side, (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_doc")))
     rows = rows.select(F.split(_plain(F.col("text")), "\n").alias("all"), "at")
     line = lambda e: e.withField("line", F.get(F.col("all"), e["pos"]))
-    rows = _hashed(rows.select(F.explode(F.transform("at", line)).alias("e")).select("e.*")).select("cid", "b0", "b1", _tokens().alias("tokens"))
+    rows = _hashed(rows.select(F.explode(F.transform("at", line)).alias("e")).select("e.*")).select("cid", _tokens().alias("tokens"))
     # A row of documents that is there several times gives its lines several times.
     firsts = lines.join(linked.select("k1", "k2", "first", "cid"), ["k1", "k2"]).where(F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
     if not firsts.groupBy("cid").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["cid"])
-    sets = stage(rows, "line-sets")
+    sets = stage(rows.withColumns({"b0": _half_parity(0), "b1": _half_parity(1)}), "line-sets")
     cell = lambda t: F.pmod(t, F.lit(CELLS)).cast("int")
     # How often tokens of each cell occur in the classes left: a fixed number of cells, all tokens.
     counts = sets.select(F.explode("tokens").alias("t")).groupBy(cell(F.col("t")).alias("cell")).count()
@@ -168,10 +177,10 @@ def _matched(docs: DataFrame, lines: DataFrame, linked: DataFrame) -> DataFrame:
     heads = stage(heads.select("token", *[F.col(f"y.{c}").alias(f"y{c}") for c in names]), "line-heads")
     x = entries.select("token", *[F.col(c).alias(f"x{c}") for c in names])
     met = stage(x.join(heads, "token").where("ycid < xcid"), "line-met")
-    done = stage(_verified(met.where(_near("x", "y")), sets), "line-done")
+    done = stage(_verified(met.where(_near("x", "y", ["b0", "b1"])), sets), "line-done")
     left = stage(met.select(*x.columns).join(done, "xcid", "left_anti"), "line-open")
     y = entries.select(F.col("token").alias("ytoken"), *[F.col(c).alias(f"y{c}") for c in names])
-    later = (F.col("token") == F.col("ytoken")) & (F.col("ycid") < F.col("xcid")) & _near("x", "y")
+    later = (F.col("token") == F.col("ytoken")) & (F.col("ycid") < F.col("xcid")) & _near("x", "y", ["b0", "b1"])
     rest = stage(_verified(left.join(y, later), sets), "line-rest")
     discard(spots, sets, counts, entries, heads, met, left)
     return done.unionAll(rest).distinct().select(F.col("xcid").alias("cid"))

@@ -139,3 +139,22 @@ def test_pipeline_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     found = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert len(found) > 2 and max(found) < 2 * BATCH_BYTES
     assert spark.conf.get(BATCH_CONF) == before
+
+
+def test_line_tables_of_hashes_have_no_dictionaries(spark, monkeypatch):
+    """Every line is written with one word of parities, and its hashes without a dictionary."""
+    import pyarrow.parquet as pq
+
+    kept = {}
+
+    def look(df, tag, *rest, **more):
+        out = stage(df, tag, *rest, **more)
+        kept[tag] = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+        return out
+
+    stage = line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", look)
+    line_dedup.line_decisions(spark.createDataFrame([(1, "a b c d e f\ng h"), (2, "a b c d e f\nx")], "doc_id long, text string"))
+    groups = [m.row_group(0) for m in kept["line-rows"] if m.num_row_groups]
+    assert groups and {"b0", "b1"}.isdisjoint(g.column(i).path_in_schema for g in groups for i in range(g.num_columns))
+    assert not any("DICTIONARY" in e for g in groups for i in range(g.num_columns) for e in g.column(i).encodings)
