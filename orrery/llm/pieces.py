@@ -26,12 +26,35 @@ from pyspark.sql import types as T
 
 #: The mark that stands for a blank, what an unknown id decodes to, and what a byte that is no UTF-8 decodes to.
 BLANK, UNKNOWN, NO_TEXT = "▁", " ⁇ ", "�"
-#: Parts of a text up to this length are kept with their ids, up to so many; pairs of tokens likewise.
-KEPT_CHARS, KEPT_PARTS, KEPT_PAIRS = 24, 1 << 19, 1 << 20
+#: Parts of a text up to this length are kept with their ids, up to so many in two halves; pairs of tokens likewise, in one.
+KEPT_CHARS, KEPT_PARTS, KEPT_PAIRS = 24, 1 << 20, 1 << 20
 #: Characters encoded at once.
 CHUNK_CHARS = 1 << 20
 
 
+class KeptParts(dict):
+    """The ids of parts of texts, as the bytes of an ``array("i")``; what is not there is found.
+
+    When half of ``KEPT_PARTS`` is full, it becomes the older half and what was that is forgotten,
+    so parts that come often stay.
+    """
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found = array("i", self.find(part)).tobytes()
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= KEPT_PARTS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+
 class PieceTokenizer:
     """Ids and texts of a merge-type SentencePiece model, given as the bytes of its file.
 
@@ -79,8 +102,9 @@ class PieceTokenizer:
                 self.steps[i] = [*steps, (-math.inf, first, last)]
                 self.automaton.add_word(token, i)
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.byte_of))
         self.part = self._parts()
+        self.known = KeptParts(self._encode_part)
 
     def _merges(self, text: str) -> Iterator[tuple[float, str, str]]:
         """(score of the next merge, first part, last part) of a short text before each merge and, without a score, after the last.
@@ -128,26 +152,28 @@ class PieceTokenizer:
 
     def _encode_known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are tokens."""
-        last = [-1] * (len(text) + 1)  # for each prefix its last token
+        last = [-1] * len(text)  # for each character the last token of the prefix that ends there
         size, many, tested = self.size, len(self.pieces), self.apart.get
         for at, token in self.automaton.iter(text):
-            if last[at + 1] < 0:  # there is only one
-                start = at + 1 - size[token]
-                if start:
-                    pair = last[start] * many + token
+            if last[at] < 0:  # there is only one
+                before = at - size[token]
+                if before >= 0:
+                    pair = last[before] * many + token
                     apart = tested(pair)
                     if not (self._stand(pair) if apart is None else apart):
                         continue
-                last[at + 1] = token
-        at, back = len(text), []
-        while at:
-            back.append(last[at])
-            at -= size[last[at]]
-        return back[::-1]
-
-    def _encode_part(self, part: str) -> tuple[int, ...]:
+                last[at] = token
+        at, back = len(text) - 1, []
+        while at >= 0:
+            token = last[at]
+            back.append(token)
+            at -= size[token]
+        back.reverse()
+        return back
+
+    def _encode_part(self, part: str) -> list[int]:
         if self.characters.issuperset(part):
-            return tuple(self._encode_known(part))
+            return self._encode_known(part)
         # Characters without a token merge with nothing: what stands between them is encoded by itself.
         out: list[int] = []
         for known, run in groupby(part, self.characters.__contains__):
@@ -156,29 +182,19 @@ class PieceTokenizer:
                 out += self._encode_known(piece)
             else:
                 out += [self.of_byte[b] for b in piece.encode()]
-        return tuple(out)
+        return out
 
     def encode(self, text: str) -> array:
         """Ids of a whole text, without marks of begin or end."""
         ids = array("i")
-        if not text:
-            return ids
-        known = self.known
-        for part in self.part(self.lead + text.replace(" ", BLANK)):
-            found = known.get(part)
-            if found is None:
-                found = self._encode_part(part)
-                if len(part) <= KEPT_CHARS:
-                    if len(known) >= KEPT_PARTS:
-                        known.clear()
-                    known[part] = found
-            ids.extend(found)
+        if text:
+            ids.frombytes(b"".join(map(self.known.__getitem__, self.part(self.lead + text.replace(" ", BLANK)))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks of blanks as blanks, but for the leading one that encoding adds; runs of byte tokens as UTF-8."""
         said = next((i for i in ids if i not in self.silent), None)
-        if self.byte_of.keys().isdisjoint(ids):
+        if not self.is_byte[np.asarray(ids, np.int32)].any():
             text = "".join(map(self.plain.__getitem__, ids))
         else:
             out, byte_of = [], self.byte_of

@@ -54,6 +54,17 @@ def test_ids_and_texts_equal_library(own, library):
         assert own.decode(ids) == library.decode(ids), ids
 
 
+def test_parts_that_come_often_stay_known(library, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_PARTS", 16)
+    with open(pieces.default_model(), "rb") as f:
+        own = pieces.PieceTokenizer(f.read())
+    asked, find = [], own._encode_known
+    monkeypatch.setattr(own, "_encode_known", lambda text: asked.append(text) or find(text))
+    text = " ".join(f"house w{k}" for k in range(200))
+    assert list(own.encode(text)) == library.encode(text)
+    assert asked.count("▁house") == 1
+
+
 def test_tables_of_pieces(spark, library):
     d = table(spark)
     out = pieces.with_ids(d)
