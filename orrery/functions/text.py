@@ -254,8 +254,8 @@ def instance_signature(problem: Column, answer: Column) -> Column:
     return F.sha2(F.concat(side(problem), F.lit("\x1f"), side(answer)), 256)
 
 
-def lint_reasons(problem: Column, answer: Column) -> Column:
-    """Reasons against an instance, in order."""
+def lint_reasons(problem: Column, answer: Column, only: tuple[str, ...] | None = None) -> Column:
+    """Reasons against an instance, in order; those named in ``only``, or all."""
     checks = [
         (F.coalesce(F.trim(problem), F.lit("")) == "", "empty_problem"),
         (F.coalesce(F.trim(answer), F.lit("")) == "", "empty_answer"),
@@ -264,4 +264,4 @@ def lint_reasons(problem: Column, answer: Column) -> Column:
         (F.length(F.regexp_extract(answer, r"\.(\d+)", 1)) > 8, "over_precise"),
         (F.contains(problem, F.lit("{")) & F.contains(problem, F.lit("}")), "unfilled_template"),
     ]
-    return F.filter(F.array(*[F.when(c, r) for c, r in checks]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(c, r) for c, r in checks if only is None or r in only]), lambda x: x.isNotNull())

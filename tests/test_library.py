@@ -159,3 +159,21 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=False)
     assert said.returncode == 0, said.stderr[-2000:]
+
+
+def test_lint_query_gives_the_reasons_of_its_sql(spark, tmp_path):
+    """Empty and null texts and languages that read as bad answers bring no reason: the SQL has two."""
+    texts = [(None, ""), ("", ""), ("  ", ""), ("x" * 4000, ""), ("\U0001f600" * 4000, ""), ("e\u0301" * 2001, "long_problem"), ("{", ""), ("}{", "unfilled_template"), ("{}" * 2001, "long_problem,unfilled_template")]
+    langs = ["en", None, "", " ", "None", "NaN", "inf", "0.123456789"]
+    rows = [(i, *r) for i, r in enumerate((t, g, want) for t, want in texts for g in langs)]
+    spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reasons for r in registry.queries()["g22_lint_reasons"](spark, str(tmp_path)).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+
+
+def test_lint_has_all_reasons_in_order(spark):
+    """The function itself names every reason unless some are asked for."""
+    d = spark.createDataFrame([(None, None), (" ", "NaN"), ("{}" * 2001, "0.123456789"), ("x", "1.5")], "p string, a string")
+    got = d.select(text.lint_reasons(F.col("p"), F.col("a")).alias("all"), text.lint_reasons(F.col("p"), F.col("a"), only=("bad_answer",)).alias("one")).collect()
+    assert [r.all for r in got] == [["empty_problem", "empty_answer"], ["empty_problem", "bad_answer"], ["long_problem", "over_precise", "unfilled_template"], []]
+    assert [r.one for r in got] == [[], ["bad_answer"], [], []]
